@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .decontaminate import op1_decontaminate
 from .exact_dedup import op4_exact_dedup
+from .quality import op3_quality
 from .sharding import op8_jump_sharding
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
+    "op3_quality": op3_quality,
     "op4_exact_dedup": op4_exact_dedup,
     "op8_jump_sharding": op8_jump_sharding,
 }

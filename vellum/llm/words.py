@@ -22,9 +22,8 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0..n-1 of the base and of its inverse modulo 2**64."""
     if len(_powers[0]) < n:
-        n = max(n, BLOCK_BYTES + 1)
         for i, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(n, base, np.uint64)
+            steps = np.full(max(n, BLOCK_BYTES + 1), base, np.uint64)
             steps[0] = 1
             _powers[i] = np.cumprod(steps)
     return _powers[0][:n], _powers[1][:n]
