@@ -6,11 +6,13 @@ from .decontaminate import op1_decontaminate
 from .exact_dedup import op4_exact_dedup
 from .quality import op3_quality
 from .sharding import op8_jump_sharding
+from .toxicity import op5_toxicity
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op3_quality": op3_quality,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_toxicity": op5_toxicity,
     "op8_jump_sharding": op8_jump_sharding,
 }
 
