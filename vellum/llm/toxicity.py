@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import held_out, labelled_sample
+from .shared import cut, held_out, labelled_sample
 from .words import NOT_ALNUM, Block, blocks, find_words, lower_latin
 
 #: Labelled rows that lexicon and weights are fitted on, at most.
@@ -249,8 +249,8 @@ def _surprise(toxic: int, clean: int, share: float) -> float:
 def learn_lexicon(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     """Words and stems with their log odds, from (label, text) rows: those too toxic for chance.
 
-    Chance is Chernoff's bound, held against the number of candidates: half a term is expected by chance. A stem must
-    gather at least three words that aren't terms in their own right, and stands for them.
+    Chance is Chernoff's bound, held against the number of candidates: half a term is expected by chance.
+    A stem opens at least three words of toxic documents, and stands for all that it opens.
     """
     tokens = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"([\p{L}\p{N}@]+)"), 1))
     # each row with a number of its own: rows that repeat count apiece
@@ -261,31 +261,35 @@ def learn_lexicon(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]
         return {}, {}
     share = n[1] / (n[0] + n[1])
     toxic, clean = F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean")
-    counts = words.groupBy("word").agg(toxic, clean)
+    counts = cut(words.groupBy("word").agg(toxic, clean))
     odds = lambda t, c: math.log((t + 0.5) / (n[1] + 1)) - math.log((c + 0.5) / (n[0] + 1))
     suspicious = (F.col("toxic") >= 3) & (F.col("toxic") > 3 * share * (F.col("toxic") + F.col("clean")))
     summary = counts.where("toxic + clean >= 3").agg(F.count(F.lit(1))).first()[0]
     rows = counts.where(suspicious).orderBy(F.desc("toxic"), "clean", "word").limit(20 * LEXICON_TERMS).collect()
     bar = math.log10(0.5 / max(summary, 1))
     lexicon = {r["word"]: odds(r["toxic"], r["clean"]) for r in rows if _surprise(r["toxic"], r["clean"], share) < bar}
-    opened: dict[str, set[str]] = {}
-    for r in counts.where((F.col("toxic") >= 1) & (F.col("toxic") > 3 * share * (F.col("toxic") + F.col("clean")))).orderBy(F.desc("toxic"), "clean", "word").limit(200 * LEXICON_TERMS).collect():
-        for k in range(3, min(len(r["word"]), 12)):
-            opened.setdefault(r["word"][:k], set()).add(r["word"])
-    candidates = sorted((p for p, w in opened.items() if len(w - lexicon.keys()) >= 3), key=lambda p: (-len(opened[p]), p))[: 20 * LEXICON_TERMS]
+    # stems, by what the words that they open add up to; no single word may make most of it
+    lengths = list(range(3, 12))
+    prefixes = F.filter(F.array(*[F.when(F.length("word") > k, F.substring("word", 1, k)) for k in lengths]), lambda p: p.isNotNull())
+    opened = counts.select("toxic", "clean", F.explode(prefixes).alias("stem")).groupBy("stem").agg(
+        F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.max("toxic").alias("largest"), F.count_if(F.col("toxic") > 0).alias("words")
+    )
+    promising = opened.where("toxic >= 9 * clean AND words >= 3 AND largest <= 0.8 * toxic").orderBy(F.desc("toxic"), "clean", "stem").limit(20 * LEXICON_TERMS)
+    candidates = sorted(r["stem"] for r in promising.collect())
     stems: dict[str, float] = {}
     if candidates:
         spark = sample.sparkSession
         listed = F.broadcast(spark.createDataFrame([(p,) for p in candidates], "stem string"))
         # one row for each document and candidate that opens one of its words
-        lengths = sorted({len(p) for p in candidates})
         cut_words = F.array_distinct(F.flatten(F.transform(F.col("words"), lambda w: F.filter(F.array(*[F.when(F.length(w) > k, F.substring(w, 1, k)) for k in lengths]), lambda p: p.isNotNull()))))
         found = sample.select("label", tokens.alias("words")).select("label", F.explode(cut_words).alias("stem")).join(listed, "stem").groupBy("stem").agg(toxic, clean)
         tested = {r["stem"]: (r["toxic"], r["clean"]) for r in found.collect()}
         bar = math.log10(0.5 / max(summary, len(candidates)))
-        good = {p: tc for p, tc in tested.items() if tc[0] > tc[1] and _surprise(*tc, share) < bar}
+        good = {p: tc for p, tc in tested.items() if tc[0] >= 9 * tc[1] and _surprise(*tc, share) < bar}
         for p in sorted(good, key=lambda p: (len(p), p)):
-            if not any(p.startswith(s) for s in stems):
+            if not p.startswith(tuple(stems)):
+                # as long as it can be without losing what it stands for
+                p = max((q for q in good if q.startswith(p) and good[q][0] >= 0.95 * good[p][0]), key=len)
                 stems[p] = odds(*good[p])
     lexicon = {w: v for w, v in lexicon.items() if not w.startswith(tuple(stems))}
     best = sorted(lexicon, key=lambda w: (-lexicon[w], w))[:LEXICON_TERMS]
