@@ -6,6 +6,7 @@ from .decontaminate import op1_decontaminate
 from .exact_dedup import op4_exact_dedup
 from .quality import op3_quality
 from .sharding import op8_jump_sharding
+from .simhash import op7_simhash
 from .toxicity import op5_toxicity
 
 QUERIES = {
@@ -13,6 +14,7 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_toxicity": op5_toxicity,
+    "op7_simhash": op7_simhash,
     "op8_jump_sharding": op8_jump_sharding,
 }
 
