@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from .chat import OP2_SQL, op2_preference
 from .decontaminate import op1_decontaminate
 from .exact_dedup import op4_exact_dedup
+from .mixing import op10_mixing
 from .quality import op3_quality
 from .sharding import op8_jump_sharding
 from .simhash import op7_simhash
@@ -11,14 +13,17 @@ from .toxicity import op5_toxicity
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_preference": op2_preference,
     "op3_quality": op3_quality,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_toxicity": op5_toxicity,
     "op7_simhash": op7_simhash,
     "op8_jump_sharding": op8_jump_sharding,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLE_SQL = {
+    "op2_preference": OP2_SQL,
     "op4_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
              g AS (SELECT body, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY body)
