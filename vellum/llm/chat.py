@@ -123,15 +123,15 @@ OP2_SQL = """
         SELECT s.*, CAST(least(s.nc, s.nr, coalesce(d.k - 1, s.nc)) AS INTEGER) AS common_turns FROM sides s LEFT JOIN differing d USING (pair_id)
     ), spans AS (
         SELECT h.*, c.common_turns,
-               coalesce(sum(length(head) + length(body)) FILTER (WHERE k > c.common_turns) OVER (PARTITION BY h.pair_id, h.chosen ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at
+               coalesce(sum(length(head) + length(body)) FILTER (WHERE k > c.common_turns) OVER (PARTITION BY h.pair_id, h.chosen ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins
         FROM shown h JOIN common c USING (pair_id)
     ), texts AS (
         SELECT pair_id,
                coalesce(string_agg(head || body, '' ORDER BY k) FILTER (WHERE chosen AND k <= common_turns), '') AS prompt,
                coalesce(string_agg(head || body, '' ORDER BY k) FILTER (WHERE chosen AND k > common_turns), '') AS chosen,
                coalesce(string_agg(head || body, '' ORDER BY k) FILTER (WHERE NOT chosen AND k > common_turns), '') AS rejected,
-               coalesce(string_agg((at + length(head)) || ':' || (at + length(head) + length(body)), ',' ORDER BY k) FILTER (WHERE chosen AND k > common_turns AND role = 'assistant'), '') AS chosen_mask,
-               coalesce(string_agg((at + length(head)) || ':' || (at + length(head) + length(body)), ',' ORDER BY k) FILTER (WHERE NOT chosen AND k > common_turns AND role = 'assistant'), '') AS rejected_mask
+               coalesce(string_agg((begins + length(head)) || ':' || (begins + length(head) + length(body)), ',' ORDER BY k) FILTER (WHERE chosen AND k > common_turns AND role = 'assistant'), '') AS chosen_mask,
+               coalesce(string_agg((begins + length(head)) || ':' || (begins + length(head) + length(body)), ',' ORDER BY k) FILTER (WHERE NOT chosen AND k > common_turns AND role = 'assistant'), '') AS rejected_mask
         FROM spans GROUP BY pair_id
     )
     SELECT c.pair_id, c.chosen_id, c.rejected_id, c.common_turns, t.prompt, t.chosen, t.rejected, t.chosen_mask, t.rejected_mask,
