@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chat import OP2_SQL, op2_preference
 from .decontaminate import op1_decontaminate
 from .exact_dedup import op4_exact_dedup
+from .language_model import op6_language_model
 from .mixing import op10_mixing
 from .quality import op3_quality
 from .sharding import op8_jump_sharding
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_toxicity": op5_toxicity,
+    "op6_language_model": op6_language_model,
     "op7_simhash": op7_simhash,
     "op8_jump_sharding": op8_jump_sharding,
     "op10_mixing": op10_mixing,

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,3 +42,19 @@ def labelled_sample(labels: DataFrame, label: str, limit: int) -> DataFrame:
     rows = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
     rows = rows.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+
+
+def store(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet into the shared folder and read back: smaller than ``cut``; removed when the process ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/vellum-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def remove() -> None:
+        with contextlib.suppress(Exception):
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
+
+    atexit.register(remove)
+    return spark.read.schema(df.schema).parquet(path)
