@@ -2,8 +2,8 @@
 
 A naive Bayes classifier over hashed words, counted from a labelled table, gives
 every document a posterior over domains. Document rates then minimise the squared
-difference between expected domain token totals and their targets, by accelerated
-projected gradient steps from the rate 1. As a step depends on a document by its
+difference between expected domain token totals and their targets, by projected
+gradient steps from the rate 1. As a step depends on a document by its
 posterior alone, documents are first summed by posterior, in steps of 1/GRAIN; the
 history of residuals, a few numbers a step, then gives the rate of any document,
 so no table of rates is kept or joined.
@@ -110,19 +110,17 @@ def train_domains(labelled: DataFrame, text: str = "text", domain: str = "domain
     return DomainModel(domains, priors, cut(weights))
 
 
-def _rate(p: Column, history: list[tuple[list[float], float]]) -> Column:
-    """The rate after the steps of ``history``: of each the scaled residual by domain, and the momentum that follows it."""
-    start = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y"))
+def _rate(p: Column, history: list[list[float]]) -> Column:
+    """The rate after the steps of ``history``, the scaled residuals by domain of each."""
     if not history:
-        return start["y"]
-    steps = F.array(*[F.struct(F.array(*map(F.lit, g)).alias("g"), F.lit(m).alias("m")) for g, m in history])
+        return F.lit(1.0)
+    steps = F.array(*[F.array(*map(F.lit, residual)) for residual in history])
 
-    def step(s: Column, h: Column) -> Column:
-        pull = F.aggregate(F.zip_with(p, h["g"], lambda a, b: a * b), F.lit(0.0), lambda x, y: x + y) / GRAIN
-        r = F.greatest(s["y"] - pull, F.lit(0.0))
-        return F.element_at(F.transform(F.array(r), lambda new: F.struct(new.alias("r"), (new + h["m"] * (new - s["r"])).alias("y"))), 1)
+    def step(r: Column, residual: Column) -> Column:
+        pull = F.aggregate(F.zip_with(p, residual, lambda a, b: a * b), F.lit(0.0), lambda x, y: x + y) / GRAIN
+        return F.greatest(r - pull, F.lit(0.0))
 
-    return F.aggregate(steps, start, step, lambda s: s["y"])
+    return F.aggregate(steps, F.lit(1.0), step)
 
 
 @dataclass
@@ -130,12 +128,12 @@ class Mix:
     """A solved mixture; ``totals`` are the expected tokens by domain, which the targets times the budget were to be."""
 
     model: DomainModel
-    history: list[tuple[list[float], float]]
+    history: list[list[float]]
     goal: list[float]
     totals: list[float]
 
 
-def solve_mix(docs: DataFrame, model: DomainModel, targets: dict[str, float], budget: float | str = "same", text: str = "text", steps: int = 150, tolerance: float = 1e-4) -> Mix:
+def solve_mix(docs: DataFrame, model: DomainModel, targets: dict[str, float], budget: float | str = "same", text: str = "text", steps: int = 60, tolerance: float = 1e-4) -> Mix:
     """Rates of least squares for ``targets``, shares by domain (others get 0; they need not add up to 1).
 
     ``budget`` is the number of tokens to aim at: "same" as all documents have, or
@@ -158,20 +156,14 @@ def solve_mix(docs: DataFrame, model: DomainModel, targets: dict[str, float], bu
     elif budget == "cover":
         budget = max((have[k] / wanted[k] for k in d if wanted[k] > 0), default=0.0)
     goal = [w * budget for w in wanted]
-    # In the metric of tokens the curvature is at most the largest domain's total, as posteriors add up to 1.
-    rate, history, fast = 1 / max(max(have), 1.0), [], 1.0
-    reached = have
+    # Squares are taken relative to what a domain has, and lengths of steps relative to a document's tokens; as
+    # posteriors add up to 1, the curvature is then that of a stochastic matrix, and a step of 1 always descends.
+    history, reached = [], have
     for _ in range(steps):
-        # a momentum of 0 in the last step: what is applied is feasible
         residual = [reached[k] - goal[k] for k in d]
         if max(map(abs, residual)) <= tolerance * max(sum(goal), 1.0):
             break
-        faster = (1 + math.sqrt(1 + 4 * fast * fast)) / 2
-        history.append(([rate * x for x in residual], (fast - 1) / faster))
-        fast = faster
-        reached = totals(_rate(F.col("p"), history))
-    if history:
-        history[-1] = (history[-1][0], 0.0)
+        history.append([residual[k] / max(have[k], 1.0) for k in d])
         reached = totals(_rate(F.col("p"), history))
     return Mix(model, history, goal, reached)
 
