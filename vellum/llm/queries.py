@@ -7,6 +7,7 @@ from .decontaminate import op1_decontaminate
 from .exact_dedup import op4_exact_dedup
 from .language_model import op6_language_model
 from .mixing import op10_mixing
+from .passages import op9_passages
 from .quality import op3_quality
 from .sharding import op8_jump_sharding
 from .simhash import op7_simhash
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_language_model": op6_language_model,
     "op7_simhash": op7_simhash,
     "op8_jump_sharding": op8_jump_sharding,
+    "op9_passages": op9_passages,
     "op10_mixing": op10_mixing,
 }
 
