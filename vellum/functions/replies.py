@@ -20,7 +20,8 @@ def verdict(reply: Column) -> Column:
     body = F.regexp_extract(F.coalesce(reply, F.lit("")), r"(?s)\{.*\}", 0)
     value = F.get_json_object(body, "$.ambiguous")
     known = F.array_contains(F.json_object_keys(body), "ambiguous")
-    falsy = value.isNull() | F.trim(value).isin("false", "0", "0.0", "-0", "-0.0", "", "[]", "{}")
+    text = F.schema_of_variant(F.try_variant_get(F.try_parse_json(body), "$.ambiguous", "variant")) == "STRING"
+    falsy = value.isNull() | (value == "") | (~F.coalesce(text, F.lit(False)) & F.trim(value).isin("false", "0", "0.0", "-0", "-0.0", "[]", "{}"))
     options = F.filter(F.coalesce(F.from_json(F.get_json_object(body, "$.options"), OPTIONS), F.array().cast(OPTIONS)), lambda o: F.trim(F.coalesce(o["summary"], F.lit(""))) != "")
     status = F.when(~F.coalesce(known, F.lit(False)), "unknown").when(falsy, "clear").otherwise("ambiguous")
     return F.struct(status.alias("status"), F.coalesce(F.get_json_object(body, "$.reason"), F.lit("")).alias("reason"), F.when(status == "ambiguous", options).otherwise(F.array().cast(OPTIONS)).alias("options"))
