@@ -164,13 +164,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """The rows of ``docs``, all columns, whose id is the smallest of their component of near-duplicates.
+    """The rows of ``docs``, all columns, without those whose id isn't the smallest of their component of near-duplicates.
 
-    Rows with a null id stay only where their whole component has none. Of rows that
-    repeat the staying id, each stays: they are the same document.
+    Rows with a null id, which can't be told apart, all stay. Of rows that repeat the
+    staying id, each stays: they are the same document.
     """
-    first = near_duplicates(docs, id_col, text_col, shingle).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_stays")).distinct()
-    return docs.join(first, F.col(id_col).eqNullSafe(F.col("_stays")), "left_semi")
+    gone = near_duplicates(docs, id_col, text_col, shingle).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
+    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:

@@ -263,7 +263,7 @@ def learn_lexicon(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]
     toxic, clean = F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean")
     counts = cut(words.groupBy("word").agg(toxic, clean))
     odds = lambda t, c: math.log((t + 0.5) / (n[1] + 1)) - math.log((c + 0.5) / (n[0] + 1))
-    suspicious = (F.col("toxic") >= 3) & (F.col("toxic") > 3 * share * (F.col("toxic") + F.col("clean")))
+    suspicious = (F.col("toxic") >= 3) & (F.col("toxic") > min(3 * share, (1 + share) / 2) * (F.col("toxic") + F.col("clean")))
     summary = counts.where("toxic + clean >= 3").agg(F.count(F.lit(1))).first()[0]
     rows = counts.where(suspicious).orderBy(F.desc("toxic"), "clean", "word").limit(20 * LEXICON_TERMS).collect()
     bar = math.log10(0.5 / max(summary, 1))
