@@ -14,7 +14,7 @@ from ..sources.parsers import blocks_of, failure_report, parse_files
 from ..sources.routing import route
 from ..sources.store import Table
 
-AUDIT = "event string, ts double, kb string, ms double"
+BINARY = "path string, modificationTime timestamp, length long, content binary"
 
 
 def ingest(files: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> tuple[DataFrame, DataFrame]:
@@ -36,17 +36,18 @@ def stream_files(spark: SparkSession, folder: str, chunks: Table, checkpoint: st
         if failed is not None:
             failed(reports, number)
 
-    arriving = spark.readStream.format("binaryFile").option("maxFilesPerTrigger", files_per_batch).load(folder)
+    arriving = spark.readStream.format("binaryFile").schema(BINARY).option("maxFilesPerTrigger", files_per_batch).load(folder)
     return arriving.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def audit_windows(events: DataFrame, window: str = "5 minutes", late: str = "10 minutes", slow_ms: float = 5000.0) -> DataFrame:
     """(start, event, n, slow) of audit events (ts timestamp, event, ms) in tumbling windows; works on streams and on tables."""
-    timed = events.withWatermark("ts", late) if events.isStreaming else events
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    timed = timed.withWatermark("ts", late) if events.isStreaming else timed
     counted = timed.groupBy(F.window("ts", window).alias("w"), "event").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("ms") > slow_ms).alias("slow"))
     return counted.select(F.col("w.start").alias("start"), "event", "n", "slow")
 
 
 def first_in_ttl(requests: DataFrame, ttl: str = "3600 seconds") -> DataFrame:
     """A stream's requests (key, ts, ...) without those whose key was seen within the time that an answer is cached."""
-    return requests.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(["key"])
+    return requests.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", ttl).dropDuplicatesWithinWatermark(["key"])
