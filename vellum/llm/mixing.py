@@ -38,6 +38,11 @@ def _words(text: str) -> Column:
     return F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(F.lower(body), " "))
 
 
+def _barrier() -> Column:
+    """Zero, in a form that filters aren't pushed through: else a filter by what follows computes the folds below over again, many times."""
+    return F.pmod(F.monotonically_increasing_id(), F.lit(1)).cast("int")
+
+
 def _bucket(word: Column) -> Column:
     return (F.pmod(F.xxhash64(word), F.lit(BUCKETS)) + 1).cast("int")
 
@@ -61,7 +66,7 @@ class DomainModel:
 
         # a subquery may not stand inside a fold, so the tables come as columns first
         wide = docs.select(*plain, F.transform(_words(text), _bucket).alias("_buckets"), *[self.weights.select(f"w{i}").scalar().alias(f"_w{i}") for i in pairs])
-        summed = wide.select(*plain, F.size("_buckets").alias(n), F.aggregate("_buckets", zero, add).alias("_sums"))
+        summed = wide.select(*plain, (F.size("_buckets") + _barrier()).alias(n), F.aggregate("_buckets", zero, add).alias("_sums"))
         return summed.select(*plain, n, self._shares(F.col("_sums"), F.col(n)).alias(p))
 
     def _shares(self, sums: Column, n: Column) -> Column:
@@ -177,7 +182,7 @@ def apply_mix(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text: str = "te
     plain = [c for c in docs.columns if c not in new]
     rows = mix.model.place(docs.select(plain), text, "n_tokens", "_p").withColumn("rate", _rate(F.col("_p"), mix.history))
     chance = F.pmod(F.xxhash64(F.col(id_col), F.col(text)), F.lit(1 << 24)) / float(1 << 24)
-    copies = (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("int")).cast("int")
+    copies = (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("int") + _barrier()).cast("int")
     return rows.select(*plain, "n_tokens", F.transform("_p", lambda x: x / GRAIN).alias("posterior"), "rate", copies.alias("copies"))
 
 
