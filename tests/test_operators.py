@@ -264,3 +264,19 @@ def test_governance(spark):
     assert [tuple(r) for r in governance.unlanded(asked, held).collect()] == [(1, "out")]
     with pytest.raises(ValueError, match="unknown store"):
         checked_store("prod")
+
+
+def test_search_by_cells(spark, sf, tmp_path):
+    from vellum.operators.cells import cell_topk, fit_cells, index_cells
+
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("chunk_id"), "embedding", F.lit(False).alias("is_deleted"), F.lit(False).alias("is_deprecated"))
+    asked = vectors.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
+    centres = fit_cells(vectors, 16)
+    index_cells(vectors, centres).write.partitionBy("cell").parquet(str(tmp_path / "i"))
+    index = spark.read.parquet(str(tmp_path / "i"))
+    assert index.count() == vectors.count(), "every row is indexed"
+    exact = search.vector_topk(vectors, asked, 10)
+    pairs = lambda df: {(r["query_id"], r["chunk_id"]) for r in df.collect()}
+    assert pairs(cell_topk(index, asked, centres, 10, probes=16)) == pairs(exact)
+    recall = {r["k"]: r["recall"] for r in metrics.overlap_recall(exact, cell_topk(index, asked, centres, 10, probes=12)).collect()}
+    assert recall[1] >= 0.9 and recall[10] >= 0.9

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import cosine, norm
 from ..operators import metrics as M
 from ..operators.access import Access, scope_of
+from ..operators.cells import cell_topk, fit_cells, index_cells
 from ..operators.search import backfill, brief, context, fuse, lexical_topk, rerank, retrieve, vector_topk
 from .corpus import SQL, chunks, embedded, questions, table, vector_queries
 
@@ -184,12 +185,20 @@ def order_changed(spark, d) -> DataFrame:
     return reranked(spark, d).groupBy("query_id").agg((ids("candidate_rank") != ids("rank")).alias("changed"))
 
 
+def ann_overlap(spark, d) -> DataFrame:
+    """How much of the exact answer search by cells finds, over all vectors."""
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", F.lit(False).alias("is_deleted"), F.lit(False).alias("is_deprecated"))
+    queries, centres = vector_queries(spark, d), fit_cells(vectors, 16)
+    return M.overlap_recall(vector_topk(vectors, queries, 10), cell_topk(index_cells(vectors, centres), queries, centres, 10, probes=12))
+
+
 QUERIES = {
     "flt_acl_hard": acl_hard, "flt_acl_soft_weight": acl_soft_weight, "flt_scope_rule": scope_rule, "srt_vector_topk": vector_hits, "srt_vector_topk_soft": vector_topk_soft, "srt_lexical_topk": lexical_hits,
     "agg_hybrid_rrf": hybrid_rrf, "win_rrf_first_seen": rrf_first_seen, "jn_rrf_score_backfill": rrf_score_backfill, "udf_rerank": reranked, "jn_retrieval_stages": retrieval_stages, "fn_context_format": context_format,
     "flt_candidate_brief": candidate_brief, "agg_recall_mrr": recall_at_k, "agg_recall_by_label": recall_by_label, "win_span_first_hit": span_recall, "agg_rank_buckets": rank_buckets, "agg_position_class": position_class,
     "agg_rerank_matrix": rerank_matrix, "agg_consistency": consistency, "agg_consistency_histogram": consistency_histogram, "jn_pairwise_similarity": pairwise_similarity, "agg_gate_signals": gate_signals,
     "agg_scope_distribution": scope_distribution, "agg_in_scope_share": in_scope_share, "agg_mode_deltas": mode_deltas, "agg_modes_side_by_side": modes_side_by_side, "fn_vector_shape": vector_shape, "agg_order_changed": order_changed,
+    "agg_ann_overlap": ann_overlap,
 }
 
 _RATES = "round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0 END), 6) AS recall_1, round(avg(CASE WHEN rank <= 3 THEN 1.0 ELSE 0 END), 6) AS recall_3, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0 END), 6) AS recall_5, round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr"
