@@ -10,6 +10,7 @@ from ..functions import replies as R
 from ..functions import tables as TB
 from ..functions import text as TX
 from ..operators import chunking as C
+from ..operators import evaluation as E
 from ..operators import governance as G
 from ..operators import metrics as M
 from ..operators import recovery as RC
@@ -298,6 +299,23 @@ def user_history(spark, d) -> DataFrame:
     return table(spark, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total")).join(named, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_custkey", F.coalesce("c_name", F.lit("unknown")).alias("name"), F.coalesce("nation", F.lit("unknown")).alias("nation"), "orders", "total")
 
 
+def number_shift(spark, d) -> DataFrame:
+    """Every line of a document with its whole numbers moved by 7."""
+    return lines(spark, d).select("doc_id", "line_no", E.shifted_numbers(F.col("line"), F.lit(7)).alias("line")).where(F.col("line").rlike("[0-9]"))
+
+
+def question_admission(spark, d) -> DataFrame:
+    """Benchmark items as generated answers: kept where the source of the same number holds them."""
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("source"), "text")
+    made = table(spark, d, "benchmark").select(F.col("item_id").alias("source"), F.lit("what?").alias("question"), F.element_at(F.split("text", " "), 1).alias("answer_span"))
+    return E.admitted_questions(made, texts).select("source", "answer_span")
+
+
+def judge_levels(spark, d) -> DataFrame:
+    pool = table(spark, d, "conversations").select(F.col("conv_id").alias("question_id"), (F.col("turn") + 1).alias("rank"), F.col("text").alias("content"))
+    return E.judged_at_levels(pool, (300, 60))
+
+
 QUERIES = {
     "fn_heading_lines": heading_lines, "fn_sentence_split": sentence_split, "fn_token_counts": token_counts, "fn_number_tokens": number_tokens, "fn_missing_numbers": missing_numbers, "set_missing_tokens": missing_tokens,
     "fn_pipe_rows": pipe_rows, "fn_table_suspects": table_suspects, "win_table_recover": table_recover, "win_table_recover_documents": table_recover_documents, "fn_markdown_render": markdown_render, "fn_words_render": words_render,
@@ -308,6 +326,7 @@ QUERIES = {
     "src_route_extension": route_extension, "agg_percentile_nearest": percentile_nearest, "agg_percentile_truncated": percentile_truncated, "agg_latency_summary": latency_summary, "srt_slowest_and_fastest": slowest_and_fastest,
     "agg_miss_false_alarm": miss_false_alarm, "agg_verdict_stability": verdict_stability, "agg_baseline_agreement": baseline_agreement, "agg_slow_sets": slow_sets, "agg_audit_counts": audit_counts,
     "str_audit_windows": audit_five_minutes, "jn_user_history": user_history,
+    "fn_number_shift": number_shift, "src_question_admission": question_admission, "agg_judge_levels": judge_levels,
 }
 
 _HEADING = "length(trim(line)) <= 40 AND trim(line) <> '' AND NOT contains('。！？；;.!?，,：:', right(trim(line), 1))"
@@ -380,4 +399,6 @@ ORACLE_SQL = {
     "agg_audit_counts": "SELECT event_type, count(*) AS n FROM events GROUP BY 1",
     "str_audit_windows": "SELECT CAST(epoch(time_bucket(INTERVAL 5 MINUTE, ts)) AS BIGINT) AS start, event_type AS event, count(*) AS n, count(*) FILTER (WHERE value > 50) AS slow FROM events GROUP BY 1, 2",
     "jn_user_history": "SELECT o.o_custkey, coalesce(c.c_name, 'unknown') AS name, coalesce(n.n_name, 'unknown') AS nation, o.orders, o.total FROM (SELECT o_custkey, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1) o LEFT JOIN customer c ON c.c_custkey = o.o_custkey LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey",
+    "src_question_admission": "SELECT b.item_id AS source, string_split(b.text, ' ')[1] AS answer_span FROM benchmark b JOIN documents d ON d.doc_id = b.item_id WHERE trim(string_split(b.text, ' ')[1]) <> '' AND contains(d.text, string_split(b.text, ' ')[1])",
+    "agg_judge_levels": "SELECT conv_id AS question_id, CAST(level AS INTEGER) AS level, string_agg((turn + 1) || '. ' || left(text, level), chr(10) ORDER BY turn) AS candidates FROM conversations, (SELECT unnest([300, 60]) AS level) GROUP BY 1, 2",
 }
