@@ -177,6 +177,9 @@ def apply_mix(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text: str = "te
     """``docs`` with n_tokens, posterior (array in the order of domains), rate and copies.
 
     copies is the rate, rounded up or down by a hash of id and text so that its expectation is the rate.
+    A null or empty text has no words and the priors as its posterior; a null id is hashed like any
+    other; rows that repeat are documents in their own right. An input column that is called like
+    a new one is replaced; an empty table gives an empty result.
     """
     new = ["n_tokens", "posterior", "rate", "copies"]
     plain = [c for c in docs.columns if c not in new]

@@ -220,7 +220,12 @@ def train_quality(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -
 
 
 def score_quality(docs: DataFrame, model: AdditiveModel, text_col: str = "text") -> DataFrame:
-    """``docs`` with quality_score, a double from 0 to 1; a null text counts as empty, and empty texts have a score too."""
+    """``docs`` with quality_score, a double from 0 to 1.
+
+    A null text counts as empty, and empty texts have a score too. Ids play no part: rows with a
+    null id and rows that repeat are scored like any other. An input column that is called
+    quality_score is replaced; an empty table gives an empty result.
+    """
     place = docs.columns.index(text_col)
     plain = [c for c in docs.columns if c != "quality_score"]
 
