@@ -92,7 +92,9 @@ def test_segments_must_cover_the_distance(spark):
         link_fingerprints(spark.createDataFrame([(1,)], "fp long"), ((32, 1), (32, 1)))
 
 
-def test_components_against_union_find(spark):
+@pytest.mark.parametrize("small", [0, 200_000])
+def test_components_against_union_find(spark, monkeypatch, small):
+    monkeypatch.setattr("vellum.llm.components.SMALL", small)
     random.seed(3)
     edges = [(random.randrange(400), random.randrange(400)) for _ in range(260)] + [(900, i) for i in range(901, 990)] + [(i, i + 1) for i in range(1000, 1060)] + [(5, 5), (7, 3), (3, 7)]
     found = Union()

@@ -7,12 +7,14 @@ and flow back to the edges by vertex and run.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import cut
 
 RUNS = 32
+#: Edges up to this number are kept in one partition, some megabytes: no round then needs a shuffle.
+SMALL = 200_000
 
 
 def smallest_by_key(rows: DataFrame, key: str, value: str, out: str, runs: int = RUNS) -> DataFrame:
@@ -29,17 +31,24 @@ def components(edges: DataFrame) -> DataFrame:
     Edges may repeat, point either way or be loops. Nodes are integers; no edges, no rows.
     """
     links = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
+    size, before = links.count(), None
+
+    def packed(df: DataFrame) -> DataFrame:
+        return df.coalesce(1) if size <= SMALL else df
+
+    def edge(a: str, b: str) -> Column:
+        return F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
+
     while True:
         # large star: the larger neighbours of a node go to its smallest neighbour
-        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = packed(links).select(F.inline(F.array(edge("a", "b"), edge("b", "a"))))
         large = smallest_by_key(both, "a", "b", "m").where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).distinct()
-        large = cut(large)
+        large = packed(cut(large))
         # small star: a node and its smaller neighbours go to the smallest of them
         small = smallest_by_key(large, "a", "b", "m")
-        small = small.select("a", F.col("m").alias("b")).unionByName(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
+        small = small.select(F.inline(F.array_compact(F.array(edge("a", "m"), F.when(F.col("b") != F.col("m"), edge("b", "m"))))))
         links = cut(small.distinct())
         now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = now
+        size, before = now[0], now
