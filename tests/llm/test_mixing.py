@@ -66,3 +66,15 @@ def test_copies_have_their_rate_as_expectation(spark, model):
     mix = solve_mix(docs, model, TARGETS, budget=4000 * 3 * 0.3)
     got = apply_mix(docs, mix).agg(F.avg("copies"), F.avg("rate")).first()
     assert got[0] == pytest.approx(got[1], abs=0.04)
+
+
+def test_cover_thins_out_no_document(spark, documents, model):
+    """Short texts and texts of two languages raise the binding domain as scarce ones are repeated; none goes below 1."""
+    rows = documents.select("text", "lang").orderBy("doc_id").limit(150).collect()
+    by = {x: [r["text"].split(" ") for r in rows if r["lang"] == x] for x in ("en", "fr", "de", "es")}
+    texts = [" ".join(w[:60]) for x in by for w in by[x]]
+    texts += [" ".join(w[:k]) for k in (1, 2, 3, 5) for w in by["en"] + by["fr"]]
+    texts += [" ".join(a[:n] + b[:n]) for n in (4, 12, 30) for a in by["en"][:12] for x in ("fr", "de", "es") for b in by[x][:4]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = apply_mix(docs, solve_mix(docs, model, TARGETS, "cover")).agg(F.min("rate"), F.min("copies"), F.count("*")).first()
+    assert got[0] >= 1 and got[1] >= 1 and got[2] == len(texts)

@@ -115,15 +115,15 @@ def train_domains(labelled: DataFrame, text: str = "text", domain: str = "domain
     return DomainModel(domains, priors, cut(weights))
 
 
-def _rate(p: Column, history: list[list[float]]) -> Column:
-    """The rate after the steps of ``history``, the scaled residuals by domain of each."""
+def _rate(p: Column, history: list[list[float]], least: float = 0.0) -> Column:
+    """The rate after the steps of ``history``, the scaled residuals by domain of each; never below ``least``."""
     if not history:
         return F.lit(1.0)
     steps = F.array(*[F.array(*map(F.lit, residual)) for residual in history])
 
     def step(r: Column, residual: Column) -> Column:
         pull = F.aggregate(F.zip_with(p, residual, lambda a, b: a * b), F.lit(0.0), lambda x, y: x + y) / GRAIN
-        return F.greatest(r - pull, F.lit(0.0))
+        return F.greatest(r - pull, F.lit(least))
 
     return F.aggregate(steps, F.lit(1.0), step)
 
@@ -136,13 +136,16 @@ class Mix:
     history: list[list[float]]
     goal: list[float]
     totals: list[float]
+    #: The bound of rates from below: 1 if no document is to be thinned out.
+    least: float = 0.0
 
 
 def solve_mix(docs: DataFrame, model: DomainModel, targets: dict[str, float], budget: float | str = "same", text: str = "text", steps: int = 60, tolerance: float = 1e-4) -> Mix:
     """Rates of least squares for ``targets``, shares by domain (others get 0; they need not add up to 1).
 
     ``budget`` is the number of tokens to aim at: "same" as all documents have, or
-    "cover", the least with which no domain is thinned out. Domains without any
+    "cover", the least with which no domain is thinned out; no document's rate is then below 1,
+    whatever its posterior, so each is kept. Domains without any
     expected token are beyond reach and left out of the goal.
     """
     d = range(len(model.domains))
@@ -156,6 +159,7 @@ def solve_mix(docs: DataFrame, model: DomainModel, targets: dict[str, float], bu
     wanted = [targets.get(x, 0.0) * (have[k] > 0) for k, x in enumerate(model.domains)]
     share = sum(wanted) or 1.0
     wanted = [w / share for w in wanted]
+    least = 1.0 if budget == "cover" else 0.0
     if budget == "same":
         budget = sum(have)
     elif budget == "cover":
@@ -169,8 +173,8 @@ def solve_mix(docs: DataFrame, model: DomainModel, targets: dict[str, float], bu
         if max(map(abs, residual)) <= tolerance * max(sum(goal), 1.0):
             break
         history.append([residual[k] / max(have[k], 1.0) for k in d])
-        reached = totals(_rate(F.col("p"), history))
-    return Mix(model, history, goal, reached)
+        reached = totals(_rate(F.col("p"), history, least))
+    return Mix(model, history, goal, reached, least)
 
 
 def apply_mix(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -183,7 +187,7 @@ def apply_mix(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text: str = "te
     """
     new = ["n_tokens", "posterior", "rate", "copies"]
     plain = [c for c in docs.columns if c not in new]
-    rows = mix.model.place(docs.select(plain), text, "n_tokens", "_p").withColumn("rate", _rate(F.col("_p"), mix.history))
+    rows = mix.model.place(docs.select(plain), text, "n_tokens", "_p").withColumn("rate", _rate(F.col("_p"), mix.history, mix.least))
     chance = F.pmod(F.xxhash64(F.col(id_col), F.col(text)), F.lit(1 << 24)) / float(1 << 24)
     copies = (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("int") + _barrier()).cast("int")
     return rows.select(*plain, "n_tokens", F.transform("_p", lambda x: x / GRAIN).alias("posterior"), "rate", copies.alias("copies"))
