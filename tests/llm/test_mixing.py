@@ -78,3 +78,14 @@ def test_cover_thins_out_no_document(spark, documents, model):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = apply_mix(docs, solve_mix(docs, model, TARGETS, "cover")).agg(F.min("rate"), F.min("copies"), F.count("*")).first()
     assert got[0] >= 1 and got[1] >= 1 and got[2] == len(texts)
+
+
+def test_every_domain_is_trained(spark):
+    rows = [(10 * k + i, f"word{k} term{k} thing{k} name{k}", f"d{k:02d}") for k in range(11) for i in range(10 - k // 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, domain string")
+    many = train_domains(docs)
+    assert many.domains == [f"d{k:02d}" for k in range(11)]
+    placed = many.place(docs, "text", "n", "p").collect()
+    assert all(many.domains[int(np.argmax(r["p"]))] == r["domain"] and sum(r["p"]) == GRAIN for r in placed)
+    with pytest.raises(ValueError, match="other"):
+        solve_mix(docs, many, {"d00": 0.5, "other": 0.5})

@@ -22,8 +22,6 @@ from .shared import cut, labelled_sample
 #: Labelled rows that the classifier is fitted on, at most.
 TRAIN_ROWS = 4_000
 BUCKETS = 4096
-#: Domains, at most; rows of rarer ones don't train.
-MAX_DOMAINS = 8
 #: A posterior weighs as much evidence as this many words, so that it stays soft.
 EVIDENCE_WORDS = 24
 GRAIN = 50
@@ -93,12 +91,12 @@ def _rounded_softmax(logs: Column) -> Column:
 
 
 def train_domains(labelled: DataFrame, text: str = "text", domain: str = "domain") -> DomainModel:
-    """A model from (text, domain) rows, a bounded sample; rows without a domain don't count.
+    """A model from (text, domain) rows, a bounded sample, with all of its domains; rows without a domain don't count.
 
     Without any row there is one domain, called "", that every document belongs to.
     """
     rows = labelled.where(F.col(domain).isNotNull())
-    counts = {r[domain]: r["count"] for r in rows.groupBy(domain).count().orderBy(F.desc("count"), domain).limit(MAX_DOMAINS).collect()}
+    counts = {r[domain]: r["count"] for r in rows.groupBy(domain).count().collect()}
     domains = sorted(counts) or [""]
     total = sum(counts.values())
     priors = [math.log((counts.get(d, 0) + 1) / (total + len(domains))) for d in domains]
@@ -146,8 +144,12 @@ def solve_mix(docs: DataFrame, model: DomainModel, targets: dict[str, float], bu
     ``budget`` is the number of tokens to aim at: "same" as all documents have, or
     "cover", the least with which no domain is thinned out; no document's rate is then below 1,
     whatever its posterior, so each is kept. Domains without any
-    expected token are beyond reach and left out of the goal.
+    expected token are beyond reach and left out of the goal. A target above 0 of a domain
+    that a fitted model doesn't have is an error.
     """
+    unknown = sorted(x for x, share in targets.items() if share > 0 and x not in model.domains)
+    if unknown and model.domains != [""]:
+        raise ValueError(f"no labelled documents of the target domains {unknown}")
     d = range(len(model.domains))
     cells = cut(model.place(docs.select(text), text, "n", "p").groupBy("p").agg(F.sum("n").cast("double").alias("n")))
 
