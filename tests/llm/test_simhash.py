@@ -92,14 +92,53 @@ def test_segments_must_cover_the_distance(spark):
         link_fingerprints(spark.createDataFrame([(1,)], "fp long"), ((32, 1), (32, 1)))
 
 
-@pytest.mark.parametrize("small", [0, 200_000])
-def test_components_against_union_find(spark, monkeypatch, small):
-    monkeypatch.setattr("vellum.llm.components.SMALL", small)
+@pytest.mark.parametrize("per_task", [20, 200_000])
+def test_components_against_union_find(spark, per_task):
     random.seed(3)
     edges = [(random.randrange(400), random.randrange(400)) for _ in range(260)] + [(900, i) for i in range(901, 990)] + [(i, i + 1) for i in range(1000, 1060)] + [(5, 5), (7, 3), (3, 7)]
     found = Union()
     for a, b in edges:
         found.join(a, b)
-    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long"), per_task).collect()}
     assert got == {x: found.find(x) for e in edges for x in e if found.find(x) != x}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_of_many_tasks(spark):
+    """Edges in more tasks than one: paths, a star, and cycles, with few edges a task."""
+    rng = random.Random(3)
+    edges = [(i, i + 1) for i in range(0, 300)] + [(1000, i) for i in range(1001, 1400)] + [(rng.randrange(2000, 2600), rng.randrange(2000, 2600)) for _ in range(350)] + [(5, 5), (None, 7)]
+    rng.shuffle(edges)
+    found = Union()
+    for a, b in edges:
+        if a is not None:
+            found.join(a, b)
+    df = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    got = {r["node"]: r["root"] for r in components(df, edges_per_task=100).collect()}
+    assert got == {x: found.find(x) for x in found.up if found.find(x) != x}
+
+
+def test_a_crowded_bucket_stays_linear(spark):
+    """Many fingerprints within four bits of one centre, all in one bucket, and some beyond: one star, no pairs of it."""
+    rng = random.Random(5)
+    near = {0}
+    while len(near) < 20_000:
+        near.add(sum(1 << b for b in rng.sample(range(20, 63), 4)))
+    far = {(1 << 62) | (0xFFFF << 40) | i for i in range(3)}
+    df = spark.createDataFrame([(x,) for x in near | far], "fp long").repartition(4)
+    roots = {}
+    for r in link_fingerprints(df).collect():
+        roots.setdefault(r["root"], set()).add(r["fp"])
+    assert sorted(map(len, roots.values()))[-1] >= len(near) and len(roots) == 2
+
+
+def test_hashes_of_ranges():
+    import numpy as np
+
+    from vellum.llm.words import xxh64
+
+    rng = np.random.default_rng(1)
+    data = rng.integers(0, 256, 5000).astype(np.uint8)
+    start = rng.integers(0, 4800, 3000)
+    end = start + rng.integers(0, 200, 3000)
+    assert xxh64(data, start, end, 42).tolist() == [xxhash.xxh64_intdigest(data[a:b].tobytes(), 42) for a, b in zip(start, end)]

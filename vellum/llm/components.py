@@ -1,20 +1,26 @@
-"""Connected components of a distributed edge list, by alternating large-star and small-star rounds.
+"""Connected components of a distributed edge list: local contraction, then alternating large-star and small-star rounds.
 
-The method is that of Kiveris et al. (2014). A vertex with very many neighbours never
-meets in one task: minima are taken by vertex and run first, then over the runs,
-and flow back to the edges by vertex and run.
+Every task first reduces the edges that it holds to spanning stars, so that a node is a
+child there at most once. The stars of all tasks are dealt out by child and
+contracted again; rounds after Kiveris et al. (2014) then join what lies in different tasks.
+A vertex with very many neighbours never meets in one task: minima are taken by vertex
+and run first, then over the runs, and flow back to the edges by vertex and run.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import discard, store
 
 RUNS = 32
-#: Edges up to this number are kept in one partition, some megabytes: no round then needs a shuffle.
-SMALL = 200_000
+#: Edges that a task holds at a time.
+EDGES_PER_TASK = 1 << 19
 
 
 def smallest_by_key(rows: DataFrame, key: str, value: str, out: str, runs: int = RUNS) -> DataFrame:
@@ -25,30 +31,81 @@ def smallest_by_key(rows: DataFrame, key: str, value: str, out: str, runs: int =
     return dealt.join(local.join(total, key).select(key, "_run", out), [key, "_run"]).drop("_run")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def spanning_stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node of the edges but the smallest of its component, and that smallest one."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    parent, x, y = np.arange(len(nodes)), at[: len(a)], at[len(a) :]
+    while len(x):
+        x, y = parent[x], parent[y]
+        open_ = x != y
+        x, y = np.maximum(x, y)[open_], np.minimum(x, y)[open_]
+        np.minimum.at(parent, x, y)
+        while True:
+            further = parent[parent]
+            if (further == parent).all():
+                break
+            parent = further
+    child = np.flatnonzero(parent != np.arange(len(nodes)))
+    return nodes[child], nodes[parent[child]]
+
+
+def _contracted(edges: DataFrame, most: int) -> DataFrame:
+    """(a, b) with a > b that join the same nodes within each task; stars of at most ``most`` edges and a batch are held at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        fresh = kept = 0
+
+        def out() -> pa.RecordBatch:
+            a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        for batch in batches:
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            fresh += batch.num_rows
+            if fresh > most:
+                held = [spanning_stars(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+                fresh, kept = 0, len(held[0][0])
+                if kept > most:
+                    yield out()
+                    held, kept = [], 0
+        if held:
+            held = [spanning_stars(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+            yield out()
+
+    return edges.select("a", "b").mapInArrow(run, "a long, b long")
+
+
+def components(edges: DataFrame, edges_per_task: int = EDGES_PER_TASK) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b) but the roots, which are the smallest nodes of their components.
 
-    Edges may repeat, point either way or be loops. Nodes are integers; no edges, no rows.
+    Edges may repeat, point either way or be loops; those with a null are none. Nodes are integers; no edges, no rows.
+    Every round runs alike, however many edges are left; only the number of tasks follows theirs.
     """
-    links = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    size, before = links.count(), None
-
-    def packed(df: DataFrame) -> DataFrame:
-        return df.coalesce(1) if size <= SMALL else df
 
     def edge(a: str, b: str) -> Column:
         return F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
 
+    links = store(_contracted(edges.where("a <> b").select(F.col("a").cast("long"), F.col("b").cast("long")), edges_per_task))
+    size = links.count()
     while True:
+        dealt = store(_contracted(links.repartition(1 + size // edges_per_task, "a"), edges_per_task).distinct())
+        discard(links)
+        before, runs = _state(dealt), RUNS * (1 + size // (64 * edges_per_task))
         # large star: the larger neighbours of a node go to its smallest neighbour
-        both = packed(links).select(F.inline(F.array(edge("a", "b"), edge("b", "a"))))
-        large = smallest_by_key(both, "a", "b", "m").where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).distinct()
-        large = packed(cut(large))
+        both = dealt.select(F.inline(F.array(edge("a", "b"), edge("b", "a"))))
+        large = smallest_by_key(both, "a", "b", "m", runs).where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).distinct()
+        large = store(large)
         # small star: a node and its smaller neighbours go to the smallest of them
-        small = smallest_by_key(large, "a", "b", "m")
+        small = smallest_by_key(large, "a", "b", "m", runs)
         small = small.select(F.inline(F.array_compact(F.array(edge("a", "m"), F.when(F.col("b") != F.col("m"), edge("b", "m"))))))
-        links = cut(small.distinct())
-        now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        links = store(small.distinct())
+        discard(dealt, large)
+        now = _state(links)
         if now == before:
             return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        size, before = now[0], now
+        size = now[0]
+
+
+def _state(links: DataFrame) -> tuple[int, object]:
+    return tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())

@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,10 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one where it is unset."""
+    """The folder that driver and executors share, from spark.checkpoint.dir; where it is unset, a temporary one if they are one process, else an error."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vellum-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="vellum-"))
     return context.getCheckpointDir()
 
 
@@ -44,17 +48,41 @@ def labelled_sample(labels: DataFrame, label: str, limit: int) -> DataFrame:
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def store(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet into the shared folder and read back: smaller than ``cut``; removed when the process ends."""
+    """``df`` written as Parquet into the shared folder and read back: smaller than ``cut``; removed when the process ends, or by ``discard``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/vellum-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    atexit.register(_remove, spark, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*stored: DataFrame) -> None:
+    """Removes the files of ``store``, of which nothing that is still to be computed may read."""
+    for df in stored:
+        _remove(df.sparkSession, df._stored_at)
+
+
+def fresh(columns: Iterable[str], *names: str) -> list[str]:
+    """``names``, with underscores behind them until none is one of ``columns``, upper and lower case being the same."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
-    def remove() -> None:
-        with contextlib.suppress(Exception):
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(conf).delete(where, True)
 
-    atexit.register(remove)
-    return spark.read.schema(df.schema).parquet(path)
+def without(columns: Iterable[str], *names: str) -> list[str]:
+    """``columns`` but those that are called like one of ``names``, upper and lower case being the same."""
+    gone = {n.lower() for n in names}
+    return [c for c in columns if c.lower() not in gone]

@@ -7,8 +7,9 @@ segment. Every fingerprint looks its balls up in the tables of segments, and the
 complete distance is verified.
 
 Many near copies share a segment. They are first linked to a pivot of their bucket
-(a star, one row each), and then only pairs of different stars are looked for: no
-bucket is expanded into all its pairs, and no link between components is lost.
+(a star, one row each), and then only pairs of different stars are looked for. In a
+crowded bucket the members of its largest star are never held against each other, and
+the lookups are dealt out over several tasks; no link between components is lost.
 """
 
 from __future__ import annotations
@@ -18,18 +19,19 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
-from .shared import cut
-from .words import Block, blocks, find_words, lower_ascii
+from .components import components, smallest_by_key
+from .shared import fresh, store
+from .words import Block, blocks, find_words, lower_ascii, xxh64
 
 SEED = 42
 #: Segment widths and radii for up to 2**28 distinct fingerprints, and beyond: longer keys, larger balls. Both are exact.
 SEGMENTS = (((20, 1), (20, 1), (24, 0)), ((32, 2), (32, 1)))
 DISTANCE = 4
+#: A bucket of more fingerprints is crowded; its lookups are dealt into so many parts.
+CROWDED, PARTS = 64, 16
 #: Lanes of eight counters: bit k of a byte adds 1 to lane k.
 _LANES = np.array([sum(((v >> k) & 1) << (8 * k) for k in range(8)) for v in range(256)], np.uint64)
 
@@ -73,13 +75,12 @@ def block_fingerprints(block: Block, shingle: int) -> np.ndarray:
     data[between] = 0x20
     place = np.cumsum(keep) - 1
     start, end = place[words.start], place[words.end - 1] + 1
-    text = data[keep[:-1]].tobytes()
+    text = data[keep[:-1]]
     shingles = np.where(counts > 0, np.maximum(counts - shingle + 1, 1), 0)
     first = np.concatenate([[0], np.cumsum(shingles)])
     i = np.arange(first[-1]) + np.repeat(words.first[:-1] - first[:-1], shingles)
     j = i + np.repeat(np.minimum(counts, shingle), shingles) - 1
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(text[a:b], SEED) for a, b in zip(start[i].tolist(), end[j].tolist(), strict=True)), np.uint64, len(i))
+    hashes = xxh64(text, start[i], end[j], SEED)
     return _majority(hashes, first)
 
 
@@ -133,18 +134,38 @@ def link_fingerprints(distinct: DataFrame, segments: tuple[tuple[int, int], ...]
     crowded = local.where("n > 1").select("seg", "key", "run", "pivot")
     star = placed.join(crowded, ["seg", "key", "run"]).select(F.col("fp").alias("a"), F.col("pivot").alias("b"))
     tops = local.join(top.where("runs > 1"), ["seg", "key"]).select(F.col("pivot").alias("a"), F.col("top").alias("b"))
-    links = star.unionByName(tops).where((F.col("a") != F.col("b")) & _near("a", "b")).distinct()
+    links = star.unionByName(tops).where((F.col("a") != F.col("b")) & _near("a", "b"))
     stars = components(links)
-    labelled = cut(distinct.select("fp").join(stars.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("label")))
+    labelled = store(distinct.select("fp").join(stars.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("label")))
     # the tables and the lookups; pairs of one star are joined already
     table = labelled.select(F.col("fp").alias("b"), F.col("label").alias("lb"), F.explode(_balls(segments, F.col("fp"), True)).alias("at")).select("b", "lb", "at.*")
     lookups = labelled.select(F.col("fp").alias("a"), F.col("label").alias("la"), F.explode(_balls(segments, F.col("fp"), False)).alias("at")).select("a", "la", "at.*")
-    across = lookups.join(table, ["seg", "key"]).where((F.col("la") != F.col("lb")) & _near("a", "b"))
-    roots = components(across.select(F.greatest("la", "lb").alias("a"), F.least("la", "lb").alias("b")).distinct())
+    held = table.groupBy("seg", "key", "lb").agg(F.count(F.lit(1)).alias("n"))
+    largest = F.max(F.struct("n", "lb"))["lb"].alias("largest")
+    crowded = store(held.groupBy("seg", "key").agg(F.sum("n").alias("n"), largest).where(F.col("n") > CROWDED).drop("n"))
+    plain = lookups.join(table.join(crowded, ["seg", "key"], "left_anti"), ["seg", "key"])
+    part = F.pmod(F.xxhash64("a"), F.lit(PARTS)).cast("int")
+    asked = lookups.join(crowded, ["seg", "key"]).select("a", "la", "seg", "key", part.alias("part"), (F.col("la") == F.col("largest")).alias("own"))
+    there = table.join(crowded, ["seg", "key"]).select("b", "lb", "seg", "key", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"), (F.col("lb") == F.col("largest")).alias("member"))
+    # the largest star's lookups meet the others only; all others meet everything
+    others = asked.where("own").join(there.where("NOT member"), ["seg", "key", "part"]).select("a", "la", "b", "lb")
+    every = asked.where("NOT own").join(there, ["seg", "key", "part"]).select("a", "la", "b", "lb")
+    found = plain.select("a", "la", "b", "lb").unionByName(others).unionByName(every)
+    across = found.where((F.col("la") != F.col("lb")) & _near("a", "b"))
+    roots = components(across.select(F.greatest("la", "lb").alias("a"), F.least("la", "lb").alias("b")))
     joined = labelled.join(roots.select(F.col("node").alias("label"), "root"), "label", "left")
     return joined.select("fp", F.coalesce("root", "label").alias("root"))
 
 
+def component_ids(linked: DataFrame) -> DataFrame:
+    """(fp, component_id): the smallest ``least`` of each root's rows (fp, root, least); a null where all are."""
+    known = smallest_by_key(linked.where("least IS NOT NULL"), "root", "least", "component_id")
+    unknown = linked.where("least IS NULL")
+    # fingerprints without an id are those of rows whose id is null: few, or one component's
+    ids = known.groupBy("root").agg(F.min("component_id").alias("component_id"))
+    return known.select("fp", "component_id").unionByName(unknown.join(ids, "root", "left").select("fp", "component_id"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, segments: tuple[tuple[int, int], ...] | None = None) -> DataFrame:
     """One row for each row of ``docs``: id_col, fp and component_id, the smallest id that is reachable over links.
 
@@ -154,12 +175,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     takes the component's smallest id, which is null only where all ids are. An
     empty table gives an empty result; other columns are ignored.
     """
-    found = cut(fingerprints(docs, id_col, text_col, shingle))
-    distinct = cut(found.groupBy("fp").agg(F.min(id_col).alias("least")))
-    linked = cut(link_fingerprints(distinct, segments).join(distinct, "fp"))
-    ids = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    found = store(fingerprints(docs, id_col, text_col, shingle))
+    distinct = store(found.groupBy("fp").agg(F.min(id_col).alias("least")))
+    linked = store(link_fingerprints(distinct, segments).join(distinct, "fp"))
     # read back, so that the join below has an exchange on both sides, of which skewed parts can be split
-    named = cut(linked.join(ids, "root").select("fp", "component_id"))
+    named = store(component_ids(linked))
     return found.join(named, "fp").select(id_col, "fp", "component_id")
 
 
@@ -169,8 +189,9 @@ def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Rows with a null id, which can't be told apart, all stay. Of rows that repeat the
     staying id, each stays: they are the same document.
     """
-    gone = near_duplicates(docs, id_col, text_col, shingle).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    (name,) = fresh(docs.columns, "_gone")
+    gone = near_duplicates(docs, id_col, text_col, shingle).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(name)).distinct()
+    return docs.join(gone, F.col(id_col) == F.col(name), "left_anti")
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:

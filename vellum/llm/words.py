@@ -141,3 +141,62 @@ def per_doc_sum(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     total = np.zeros(len(values) + 1, np.int64 if values.dtype.kind in "bui" else np.float64)
     np.cumsum(values, out=total[1:])
     return total[offsets[1:]] - total[offsets[:-1]]
+
+
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _turn(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
+
+def _round(v: np.ndarray, lane: np.ndarray) -> np.ndarray:
+    return _turn(v + lane * _P2, 31) * _P1
+
+
+def xxh64(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+    """XXH64 of the bytes start..end-1 of each range, all ranges at a time."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    lanes = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+    size = end - start
+    s = np.array([seed], np.uint64)
+    h = np.broadcast_to(s + _P5, size.shape).copy()
+    at = start.copy()
+    long = np.flatnonzero(size >= 32)
+    if len(long):
+        v = [np.broadcast_to(x, long.shape).copy() for x in (s + _P1 + _P2, s + _P2, s, s - _P1)]
+        left, place, live = size[long] // 32, at[long], np.arange(len(long))
+        while len(live):
+            for k in range(4):
+                v[k][live] = _round(v[k][live], lanes[place[live] + 8 * k])
+            place[live] += 32
+            left[live] -= 1
+            live = live[left[live] > 0]
+        total = _turn(v[0], 1) + _turn(v[1], 7) + _turn(v[2], 12) + _turn(v[3], 18)
+        for x in v:
+            total = (total ^ _round(np.zeros_like(x), x)) * _P1 + _P4
+        h[long], at[long] = total, place
+    h += size.astype(np.uint64)
+    left = end - at
+    for _ in range(3):
+        live = np.flatnonzero(left >= 8)
+        if not len(live):
+            break
+        k = lanes[at[live]]
+        h[live] = _turn(h[live] ^ _round(np.zeros_like(k), k), 27) * _P1 + _P4
+        at[live] += 8
+        left[live] -= 8
+    live = np.flatnonzero(left >= 4)
+    h[live] = _turn(h[live] ^ ((lanes[at[live]] & np.uint64(0xFFFFFFFF)) * _P1), 23) * _P2 + _P3
+    at[live] += 4
+    left[live] -= 4
+    for _ in range(3):
+        live = np.flatnonzero(left > 0)
+        if not len(live):
+            break
+        h[live] = _turn(h[live] ^ (padded[at[live]].astype(np.uint64) * _P5), 11) * _P1
+        at[live] += 1
+        left[live] -= 1
+    h = (h ^ (h >> np.uint64(33))) * _P2
+    h = (h ^ (h >> np.uint64(29))) * _P3
+    return h ^ (h >> np.uint64(32))
