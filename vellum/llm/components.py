@@ -1,10 +1,12 @@
-"""Connected components of a distributed edge list: local contraction, then alternating large-star and small-star rounds.
+"""Connected components of a distributed edge list: contraction in every task, then rounds that join what lies in different tasks.
 
-Every task first reduces the edges that it holds to spanning stars, so that a node is a
-child there at most once. The stars of all tasks are dealt out by child and
-contracted again; rounds after Kiveris et al. (2014) then join what lies in different tasks.
-A vertex with very many neighbours never meets in one task: minima are taken by vertex
-and run first, then over the runs, and flow back to the edges by vertex and run.
+Every task reduces the edges that it holds to spanning stars, so that a node is a child
+there at most once. A round deals the stars out by child and contracts them again,
+which leaves a child with one parent; children of a node that is a child itself then go to its parent.
+Once nothing changes, every child has one parent, which is a root: the smallest node of its component.
+
+No vertex with very many neighbours meets in one task: its children are dealt out one by
+one, and its own parent goes to them in runs.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import discard, store
@@ -27,8 +29,8 @@ def smallest_by_key(rows: DataFrame, key: str, value: str, out: str, runs: int =
     """``rows`` with the smallest ``value`` of each row's ``key``, however many rows share a key."""
     dealt = rows.withColumn("_run", F.pmod(F.xxhash64(value), F.lit(runs)).cast("int"))
     local = dealt.groupBy(key, "_run").agg(F.min(value).alias("_least"))
-    total = local.groupBy(key).agg(F.min("_least").alias(out))
-    return dealt.join(local.join(total, key).select(key, "_run", out), [key, "_run"]).drop("_run")
+    total = local.groupBy(key).agg(F.min("_least").alias(out), F.collect_list("_run").alias("_runs"))
+    return dealt.join(total.select(key, out, F.explode("_runs").alias("_run")), [key, "_run"]).drop("_run")
 
 
 def spanning_stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,30 +84,23 @@ def components(edges: DataFrame, edges_per_task: int = EDGES_PER_TASK) -> DataFr
     Edges may repeat, point either way or be loops; those with a null are none. Nodes are integers; no edges, no rows.
     Every round runs alike, however many edges are left; only the number of tasks follows theirs.
     """
-
-    def edge(a: str, b: str) -> Column:
-        return F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
-
     links = store(_contracted(edges.where("a <> b").select(F.col("a").cast("long"), F.col("b").cast("long")), edges_per_task))
-    size = links.count()
+    size, before = links.count(), None
+    runs = F.array(*map(F.lit, range(RUNS)))
     while True:
-        dealt = store(_contracted(links.repartition(1 + size // edges_per_task, "a"), edges_per_task).distinct())
+        tasks = 1 + size // edges_per_task
+        met = store(_contracted(links.coalesce(tasks).repartition(tasks, "a"), edges_per_task))
         discard(links)
-        before, runs = _state(dealt), RUNS * (1 + size // (64 * edges_per_task))
-        # large star: the larger neighbours of a node go to its smallest neighbour
-        both = dealt.select(F.inline(F.array(edge("a", "b"), edge("b", "a"))))
-        large = smallest_by_key(both, "a", "b", "m", runs).where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).distinct()
-        large = store(large)
-        # small star: a node and its smaller neighbours go to the smallest of them
-        small = smallest_by_key(large, "a", "b", "m", runs)
-        small = small.select(F.inline(F.array_compact(F.array(edge("a", "m"), F.when(F.col("b") != F.col("m"), edge("b", "m"))))))
-        links = store(small.distinct())
-        discard(dealt, large)
-        now = _state(links)
+        now = tuple(met.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
-            return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        size = now[0]
-
-
-def _state(links: DataFrame) -> tuple[int, object]:
-    return tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+            return met.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        size, before = now[0], now
+        # parents that are children; where there are none, the next round only confirms it
+        inner = store(met.join(met.select(F.col("b").alias("a")).distinct(), "a", "left_semi"))
+        if inner.isEmpty():
+            links = met
+            continue
+        up = inner.select(F.col("a").alias("b"), F.col("b").alias("c"), F.explode(runs).alias("run"))
+        dealt = met.withColumn("run", F.pmod(F.xxhash64("a"), F.lit(RUNS)).cast("int"))
+        links = store(dealt.join(up, ["b", "run"], "left").select("a", F.coalesce("c", "b").alias("b")))
+        discard(met, inner)

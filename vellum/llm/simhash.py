@@ -19,7 +19,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components, smallest_by_key
@@ -128,13 +128,9 @@ def link_fingerprints(distinct: DataFrame, segments: tuple[tuple[int, int], ...]
         raise ValueError("the segments don't cover 64 bits, or their radii don't cover the distance")
     # stars: each fingerprint to a pivot of its bucket and run, the pivots of runs to one of the bucket
     placed = distinct.select("fp", F.explode(_balls(segments, F.col("fp"), True)).alias("at")).select("fp", "at.*")
-    placed = placed.withColumn("run", F.pmod(F.xxhash64("fp"), F.lit(runs)).cast("int"))
-    local = placed.groupBy("seg", "key", "run").agg(F.min("fp").alias("pivot"), F.count(F.lit(1)).alias("n"))
-    top = local.groupBy("seg", "key").agg(F.min("pivot").alias("top"), F.sum("n").alias("total"), F.count(F.lit(1)).alias("runs")).where("total > 1")
-    crowded = local.where("n > 1").select("seg", "key", "run", "pivot")
-    star = placed.join(crowded, ["seg", "key", "run"]).select(F.col("fp").alias("a"), F.col("pivot").alias("b"))
-    tops = local.join(top.where("runs > 1"), ["seg", "key"]).select(F.col("pivot").alias("a"), F.col("top").alias("b"))
-    links = star.unionByName(tops).where((F.col("a") != F.col("b")) & _near("a", "b"))
+    placed = placed.withColumn("run", F.pmod(F.xxhash64("fp"), F.lit(runs)).cast("int")).withColumn("pivot", F.min("fp").over(Window.partitionBy("seg", "key", "run")))
+    tops = placed.where("fp = pivot").withColumn("pivot", F.min("fp").over(Window.partitionBy("seg", "key")))
+    links = placed.unionByName(tops).where((F.col("fp") != F.col("pivot")) & _near("fp", "pivot")).select(F.col("fp").alias("a"), F.col("pivot").alias("b"))
     stars = components(links)
     labelled = store(distinct.select("fp").join(stars.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("label")))
     # the tables and the lookups; pairs of one star are joined already
@@ -148,9 +144,9 @@ def link_fingerprints(distinct: DataFrame, segments: tuple[tuple[int, int], ...]
     asked = lookups.join(crowded, ["seg", "key"]).select("a", "la", "seg", "key", part.alias("part"), (F.col("la") == F.col("largest")).alias("own"))
     there = table.join(crowded, ["seg", "key"]).select("b", "lb", "seg", "key", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"), (F.col("lb") == F.col("largest")).alias("member"))
     # the largest star's lookups meet the others only; all others meet everything
-    others = asked.where("own").join(there.where("NOT member"), ["seg", "key", "part"]).select("a", "la", "b", "lb")
-    every = asked.where("NOT own").join(there, ["seg", "key", "part"]).select("a", "la", "b", "lb")
-    found = plain.select("a", "la", "b", "lb").unionByName(others).unionByName(every)
+    asked = asked.withColumn("kind", F.explode(F.when(F.col("own"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
+    within = asked.join(there.withColumn("kind", F.col("member").cast("int")), ["seg", "key", "part", "kind"])
+    found = plain.select("a", "la", "b", "lb").unionByName(within.select("a", "la", "b", "lb"))
     across = found.where((F.col("la") != F.col("lb")) & _near("a", "b"))
     roots = components(across.select(F.greatest("la", "lb").alias("a"), F.least("la", "lb").alias("b")))
     joined = labelled.join(roots.select(F.col("node").alias("label"), "root"), "label", "left")
