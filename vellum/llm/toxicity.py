@@ -1,7 +1,8 @@
 """Toxicity: Levenshtein automata over a lexicon trie, weighed by the words around a match.
 
 The lexicon is learnt from labelled documents: words, and stems that open many
-words, which stand in toxic documents far too often for chance. The trie of the
+words, which stand in toxic documents far too often for chance. A stem may well open a word of
+a clean document once; what tells is that it does so again and again. The trie of the
 lexicon is run against the Levenshtein automaton of every term at once: a state is a
 set of trie nodes with the edits spent on each, made deterministic, so that one table
 lookup a byte tells for every word which term it is, or is a misspelling of.
@@ -23,8 +24,8 @@ from .words import NOT_ALNUM, Block, blocks, find_words, lower_latin
 
 #: Labelled rows that lexicon and weights are fitted on, at most.
 TRAIN_ROWS = 16_000
-#: Terms of the lexicon, at most: the words and stems that tell most.
-LEXICON_TERMS = 300
+#: How much likelier a term must be in toxic documents than in others.
+LIKELIER = 9
 THRESHOLD = 0.3
 #: Words on either side of a match that its context is made of.
 WINDOW = 6
@@ -183,7 +184,9 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-(x @ self.weights[1:] + self.weights[0])))
 
 
-EVIDENCE = ("exact", "fuzzy", "stem", "strongest", "abuse", "quotation")
+#: Sums of what matches weigh: by kind; of those in quotation marks, near words of reporting, and near words of address or
+#: other matches; the strongest match; and all of them for the length of the text. What each tells is fitted.
+EVIDENCE = ("exact", "fuzzy", "stem", "quoted", "reported", "addressed", "strongest", "density")
 
 
 def _near(flags: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -224,15 +227,13 @@ def evidence(block: Block, model: ToxicityModel) -> np.ndarray:
         before = original[words.start[first] : words.start[i]].decode("utf-8", "replace")
         behind = original[words.end[i] : words.end[last]].decode("utf-8", "replace")
         quoted[n] = any(q in before for q in _QUOTES) and any(q in behind for q in _QUOTES)
-    told = _near(reporting, at, lo, hi)
-    hostile = _near(address, at, lo, hi) + _near(matched, at, lo, hi) - 1
-    #: from 0 (abuse) to 1 (quotation): both marks of a quotation count, marks of abuse take from it
-    quotation = 1 / (1 + np.exp(-(2.0 * quoted + 1.0 * (told > 0) - 1.0 * hostile - 2.0)))
-    for k, v in enumerate(value):
-        out[:, k] = np.log1p(np.bincount(doc, v * (1 - quotation), len(block)))
-    np.maximum.at(out[:, 3], doc, strength * (1 - quotation))
-    out[:, 4] = np.log1p(np.bincount(doc, hostile * (strength > 0), len(block)))
-    out[:, 5] = np.log1p(np.bincount(doc, strength * quotation, len(block)))
+    told = _near(reporting, at, lo, hi) > 0
+    hostile = _near(address, at, lo, hi) + _near(matched, at, lo, hi) > 1
+    sums = [*value, strength * quoted, strength * told, strength * hostile]
+    for k, v in enumerate(sums):
+        out[:, k] = np.log1p(np.bincount(doc, v, len(block)))
+    np.maximum.at(out[:, 6], doc, strength)
+    out[:, 7] = np.log1p(100 * np.bincount(doc, strength, len(block)) / np.maximum(np.diff(words.first), 20))
     return out
 
 
@@ -249,52 +250,59 @@ def _surprise(toxic: int, clean: int, share: float) -> float:
 def learn_lexicon(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     """Words and stems with their log odds, from (label, text) rows: those too toxic for chance.
 
-    Chance is Chernoff's bound, held against the number of candidates: half a term is expected by chance.
+    A term tells by the documents that have it, by those that have it twice and more, or, where two toxic
+    ones do, by the different words that it opens in each document. Chance is
+    Chernoff's bound, held against the number of candidates: half a term is expected by chance.
     A stem opens at least three words of toxic documents, and stands for all that it opens.
+    The sample is bounded, and so are the terms.
     """
-    tokens = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"([\p{L}\p{N}@]+)"), 1))
+    tokens = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"([\p{L}\p{N}@]+)"), 1)
+    totals = {r["label"]: (r["n"], r["words"] or 0) for r in sample.select("label", F.size(tokens).alias("m")).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("m").alias("words")).collect()}
+    if 1 not in totals or 0 not in totals:
+        return {}, {}
+    (n1, words1), (n0, words0) = totals[1], totals[0]
+    share = n1 / (n0 + n1)
     # each row with a number of its own: rows that repeat count apiece
     words = sample.withColumn("row", F.monotonically_increasing_id()).select("row", "label", F.explode(tokens).alias("word")).where(F.length("word") >= 3)
-    totals = sample.groupBy("label").count().collect()
-    n = {r["label"]: r["count"] for r in totals}
-    if not n.get(1) or not n.get(0):
-        return {}, {}
-    share = n[1] / (n[0] + n[1])
-    toxic, clean = F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean")
-    counts = cut(words.groupBy("word").agg(toxic, clean))
-    odds = lambda t, c: math.log((t + 0.5) / (n[1] + 1)) - math.log((c + 0.5) / (n[0] + 1))
-    suspicious = (F.col("toxic") >= 3) & (F.col("toxic") > min(3 * share, (1 + share) / 2) * (F.col("toxic") + F.col("clean")))
-    summary = counts.where("toxic + clean >= 3").agg(F.count(F.lit(1))).first()[0]
-    rows = counts.where(suspicious).orderBy(F.desc("toxic"), "clean", "word").limit(20 * LEXICON_TERMS).collect()
-    bar = math.log10(0.5 / max(summary, 1))
-    lexicon = {r["word"]: odds(r["toxic"], r["clean"]) for r in rows if _surprise(r["toxic"], r["clean"], share) < bar}
+    held = cut(words.groupBy("row", "label", "word").agg(F.count(F.lit(1)).alias("n")))
+
+    def tested(rows: DataFrame, key: str) -> dict[str, tuple]:
+        """By term: toxic and clean documents that have it, that have it twice, the words that it opens in them, and its log odds a word."""
+        of = lambda label, least: F.count_if((F.col("label") == label) & (F.col("n") >= least))
+        sums = [F.sum(F.when(F.col("label") == label, F.col("n")).otherwise(0)) for label in (1, 0)]
+        opened = [F.sum(F.when(F.col("label") == label, F.col("words")).otherwise(0)).alias(name) for label, name in ((1, "tw"), (0, "cw"))]
+        odds = F.log((sums[0] + 0.5) / (words1 + 1)) - F.log((sums[1] + 0.5) / (words0 + 1))
+        found = rows.groupBy(key).agg(of(1, 1).alias("t1"), of(0, 1).alias("c1"), of(1, 2).alias("t2"), of(0, 2).alias("c2"), *opened, odds.alias("odds"))
+        return {r[0]: tuple(r)[1:] for r in found.where("t1 >= 3 AND odds > 0").collect()}
+
+    def telling(counts: tuple, bar: float) -> bool:
+        t1, c1, t2, c2, tw, cw, _ = counts
+        by_documents = any(t / n1 >= LIKELIER * c / n0 and _surprise(t, c, share) < bar for t, c in ((t1, c1), (t2, c2)) if t)
+        return by_documents or (t2 >= 2 and t2 / n1 >= LIKELIER * c2 / n0 and tw / words1 >= LIKELIER * cw / max(words0, 1) and _surprise(tw, cw, words1 / (words0 + words1)) < bar)
+
+    every = held.groupBy("word").agg(F.count(F.lit(1)).alias("docs")).where("docs >= 3").count()
+    bar = math.log10(0.5 / max(every, 1))
+    lexicon = {w: c[-1] for w, c in tested(held.withColumn("words", F.lit(1)), "word").items() if telling(c, bar)}
     # stems, by what the words that they open add up to; no single word may make most of it
-    lengths = list(range(3, 12))
-    prefixes = F.filter(F.array(*[F.when(F.length("word") > k, F.substring("word", 1, k)) for k in lengths]), lambda p: p.isNotNull())
-    opened = counts.select("toxic", "clean", F.explode(prefixes).alias("stem")).groupBy("stem").agg(
+    opens = F.transform(F.sequence(F.lit(3), F.length("word") - 1), lambda k: F.substring("word", F.lit(1), k))
+    by_word = held.groupBy("word").agg(*[F.sum(F.when(F.col("label") == label, F.col("n")).otherwise(0)).alias(name) for label, name in ((1, "toxic"), (0, "clean"))])
+    opened = by_word.where(F.length("word") > 3).select("toxic", "clean", F.explode(opens).alias("stem")).groupBy("stem").agg(
         F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.max("toxic").alias("largest"), F.count_if(F.col("toxic") > 0).alias("words")
     )
-    promising = opened.where("toxic >= 9 * clean AND words >= 3 AND largest <= 0.8 * toxic").orderBy(F.desc("toxic"), "clean", "stem").limit(20 * LEXICON_TERMS)
-    candidates = sorted(r["stem"] for r in promising.collect())
+    likelier = F.col("toxic") * max(words0, 1) >= F.lit(LIKELIER) * F.col("clean") * max(words1, 1)
+    promising = cut(opened.where(likelier & F.expr("toxic >= 3 AND words >= 3 AND largest <= 0.8 * toxic")).select("stem"))
+    of_stem = held.where(F.length("word") > 3).select("row", "label", "n", F.explode(opens).alias("stem")).join(promising, "stem")
+    candidates = tested(of_stem.groupBy("row", "label", "stem").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")), "stem")
+    bar = math.log10(0.5 / max(every, len(candidates), 1))
+    good = {p: c for p, c in candidates.items() if telling(c, bar)}
     stems: dict[str, float] = {}
-    if candidates:
-        spark = sample.sparkSession
-        listed = F.broadcast(spark.createDataFrame([(p,) for p in candidates], "stem string"))
-        # one row for each document and candidate that opens one of its words
-        cut_words = F.array_distinct(F.flatten(F.transform(F.col("words"), lambda w: F.filter(F.array(*[F.when(F.length(w) > k, F.substring(w, 1, k)) for k in lengths]), lambda p: p.isNotNull()))))
-        found = sample.select("label", tokens.alias("words")).select("label", F.explode(cut_words).alias("stem")).join(listed, "stem").groupBy("stem").agg(toxic, clean)
-        tested = {r["stem"]: (r["toxic"], r["clean"]) for r in found.collect()}
-        bar = math.log10(0.5 / max(summary, len(candidates)))
-        good = {p: tc for p, tc in tested.items() if tc[0] >= 9 * tc[1] and _surprise(*tc, share) < bar}
-        for p in sorted(good, key=lambda p: (len(p), p)):
-            if not p.startswith(tuple(stems)):
-                # as long as it can be without losing what it stands for
-                p = max((q for q in good if q.startswith(p) and good[q][0] >= 0.95 * good[p][0]), key=len)
-                stems[p] = odds(*good[p])
-    lexicon = {w: v for w, v in lexicon.items() if not w.startswith(tuple(stems))}
-    best = sorted(lexicon, key=lambda w: (-lexicon[w], w))[:LEXICON_TERMS]
-    best_stems = sorted(stems, key=lambda w: (-stems[w], w))[:LEXICON_TERMS]
-    return {w: lexicon[w] for w in best}, {s: stems[s] for s in best_stems}
+    for p in sorted(good, key=lambda p: (len(p), p)):
+        if not p.startswith(tuple(stems)):
+            # as long as it can be without losing what it stands for
+            p = max((q for q in good if q.startswith(p) and good[q][0] >= 0.95 * good[p][0]), key=lambda q: (len(q), q))
+            stems[p] = good[p][-1]
+    lexicon = {w: v for w, v in sorted(lexicon.items()) if not w.startswith(tuple(stems))}
+    return lexicon, stems
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
