@@ -27,12 +27,6 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and read back from the shared folder, so that lost executors cost no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def held_out(doc_id: Column, modulus: int = 4) -> Column:
     """Whether a document is kept away from learning: remainder 2 of the CRC of its id's digits."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == 2, F.lit(False))
@@ -45,7 +39,17 @@ def labelled_sample(labels: DataFrame, label: str, limit: int) -> DataFrame:
     """
     rows = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
     rows = rows.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
-    return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    # of many more than wanted, most go before the sort: twice as many as wanted are expected to stay, so enough do
+    size, place = rows.count(), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
+    if size > 4 * limit and limit >= 1000:
+        rows = rows.where(place <= F.lit(2 * limit * (1 << 20) // size))
+    return rows.orderBy(place, "doc_id").limit(limit)
+
+
+def labelled_texts(docs: DataFrame, sample: DataFrame, text: str = "text") -> DataFrame:
+    """(label, text) of the documents of a ``labelled_sample``: one row an id, the smallest text of those that repeat it."""
+    rows = docs.select("doc_id", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    return rows.groupBy("doc_id").agg(F.max("label").alias("label"), F.min("text").alias("text")).select("label", "text")
 
 
 def _remove(spark: SparkSession, path: str) -> None:
