@@ -1,6 +1,6 @@
 import pytest
 
-CLASHES = ["score", "kept", "keep_id", "component_id", "shard", "slot", "size", "law", "rate", "copies", "label", "hash", "n_tokens", "quality_score", "toxicity", "held_out", "fp", "doc", "x"]
+CLASHES = ["score", "kept", "keep_id", "component_id", "shard", "slot", "size", "law", "rate", "copies", "label", "hash", "n_tokens", "quality_score", "toxicity", "held_out", "fp", "doc", "x", "_row", "_Run", "_n", "_keep", "_first", "_bucket", "_gone", "_p", "_buckets", "_sums", "base", "known", "model", "rare", "_text", "least", "Name", "n", "keys", "bits"]
 
 
 def odd_rows():

@@ -122,3 +122,38 @@ def test_preference_pairs_can_be_given(spark):
     pairs = spark.createDataFrame([("p", 9, True), ("p", 7, False)], "pair_id string, conv_id long, chosen boolean")
     (row,) = preference_pairs(said, pairs).collect()
     assert (row["pair_id"], row["chosen_id"], row["rejected_id"], row["common_turns"]) == ("p", 9, 7, 1)
+
+
+def test_several_conversations_a_side(spark):
+    said = turns(spark, [(7, 0, "user", "q"), (8, 0, "user", "q"), (9, 0, "user", "q")])
+    pairs = spark.createDataFrame([("p", 9, True), ("p", 7, False), ("p", 8, False), ("n", 7, None)], "pair_id string, conv_id long, chosen boolean")
+    got = {r["pair_id"]: r for r in preference_pairs(said, pairs.where("chosen IS NOT NULL")).collect()}
+    row = got["p"]
+    assert (row["status"], row["rejected_id"], row["prompt"], row["chosen"], row["common_turns"]) == ("several", 8, "", "", 0)
+
+
+def test_keys_that_are_strings_and_clashing_names(spark):
+    rows = spark.createDataFrame([("a", "x", 777, 1), ("b", "y", 778, 2), (None, None, 779, 3)], "doc_id string, text string, _row long, _BUCKET long")
+    got = {r["doc_id"]: r for r in assign_shards(rows, 4).collect()}
+    assert {r["_row"] for r in got.values()} == {777, 778, 779} and all(0 <= r["shard"] < 4 for r in got.values())
+    same = spark.createDataFrame([(1, "x", "k", 9), (2, "x", "l", 8)], "doc_id long, text string, _run string, _KEEP long")
+    assert {(r["doc_id"], r["keep_id"], r["_run"], r["_KEEP"]) for r in exact_dedup(same).collect()} == {(1, 1, "k", 9), (2, 1, "l", 8)}
+
+
+def test_sorted_runs_are_merged(documents, capsys):
+    exact_dedup(documents).explain()
+    from vellum.llm.exact_dedup import _merged
+
+    rows = documents.selectExpr("0 AS _run", "unhex(sha2(text, 256)) AS d", "doc_id")
+    _merged(rows, ["_run", "d"], "min", ("doc_id", "k"), (F.lit(1), "n")).explain()
+    assert "SortAggregate" in capsys.readouterr().out
+
+
+def test_op8_against_brute_force(spark, sf, texts):
+    """The whole query: sizes, checksums, shards and gapless slots."""
+    slots = defaultdict(list)
+    for r in QUERIES["op8_jump_sharding"](spark, sf).collect():
+        body = texts[r["doc_id"]].encode()
+        assert (r["size"], r["text_crc32"], r["law"], r["shard"], r["grown_shard"]) == (len(body) + 16, zlib.crc32(body), "key", jump(r["doc_id"], 40), jump(r["doc_id"], 41))
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and sum(map(len, slots.values())) == len(texts)

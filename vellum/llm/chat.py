@@ -60,9 +60,10 @@ def preference_pairs(turns: DataFrame, pairs: DataFrame | None = None, template:
 
     status is "pair"; "identical" if nothing follows the common prefix, with empty
     completions; "unpaired" if a side has no turns, and then the prompt is empty
-    and the other side is a completion as a whole. Turns without a conversation id and
-    pairs without any turns don't appear; a conversation may stand in many pairs. Other
-    columns are ignored.
+    and the other side is a completion as a whole; "several" if a side has more than one conversation,
+    of which the largest id is named, and all texts are empty. Turns without a conversation id and
+    pairs without any turns don't appear, and neither do rows of ``pairs`` whose chosen is null; a conversation may
+    stand in many pairs. Very long texts are rendered as a whole. Other columns are ignored.
     """
     said = turns.select("conv_id", "turn", "role", "text").where(F.col("conv_id").isNotNull())
     if pairs is None:
@@ -74,9 +75,11 @@ def preference_pairs(turns: DataFrame, pairs: DataFrame | None = None, template:
         "turn", role.alias("role"), text.alias("text"), F.length(template.head(role)).alias("head"), F.length(template.body(text)).alias("body"), (role == template.trained).alias("trained")
     )
     grouped = said.groupBy("pair_id").agg(
-        *[f(F.when(side, x)).alias(name) for side, tag in ((F.col("chosen"), "chosen"), (~F.col("chosen"), "rejected")) for f, x, name in ((F.max, F.col("conv_id"), f"{tag}_id"), (F.collect_list, turn, f"{tag}_turns"))]
+        *[f(F.when(side, x)).alias(name) for side, tag in ((F.col("chosen"), "chosen"), (~F.col("chosen"), "rejected")) for f, x, name in ((F.max, F.col("conv_id"), f"{tag}_id"), (F.min, F.col("conv_id"), f"{tag}_least"), (F.collect_list, turn, f"{tag}_turns"))]
     )
-    grouped = grouped.withColumns({c: F.array_sort(c) for c in ("chosen_turns", "rejected_turns")})
+    several = F.coalesce((F.col("chosen_id") != F.col("chosen_least")) | (F.col("rejected_id") != F.col("rejected_least")), F.lit(False))
+    grouped = grouped.withColumn("several", several)
+    grouped = grouped.withColumns({c: F.array_sort(F.when(F.col("several"), F.slice(c, 1, 0)).otherwise(F.col(c))) for c in ("chosen_turns", "rejected_turns")})
     same = F.zip_with("chosen_turns", "rejected_turns", lambda a, b: F.coalesce((a["role"] == b["role"]) & (a["text"] == b["text"]), F.lit(False)))
     differs = F.array_position(same, False)
     placed = grouped.withColumn("common_turns", F.when(differs > 0, differs - 1).otherwise(F.size(same)).cast("int"))
@@ -92,7 +95,7 @@ def preference_pairs(turns: DataFrame, pairs: DataFrame | None = None, template:
         render(F.slice("chosen_turns", 1, F.col("common_turns"))).alias("prompt"),
         *[render(rest[tag]).alias(tag) for tag in ("chosen", "rejected")],
         *[_mask(rest[tag]).alias(f"{tag}_mask") for tag in ("chosen", "rejected")],
-        F.when(unpaired, "unpaired").when(identical, "identical").otherwise("pair").alias("status"),
+        F.when(F.col("several"), "several").when(unpaired, "unpaired").when(identical, "identical").otherwise("pair").alias("status"),
     )
 
 

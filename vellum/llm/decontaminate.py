@@ -20,6 +20,9 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
+
+from .shared import fresh
 
 from .words import NOT_ALNUM, Block, blocks, find_words, hash_words, lower_latin, mix
 
@@ -29,7 +32,7 @@ MASKS = ("111111", "11101011", "110110101")
 BLOCK_ITEMS = 20_000
 #: Items with fewer words are no evidence of a leak and match nothing.
 MIN_ITEM_WORDS = 5
-MATCHES = "item_id long, start_word int, end_word int, matched_words int, item_words int, overlap double"
+MATCHES = "start_word int, end_word int, matched_words int, item_words int, overlap double"
 
 
 def _spaced(hashes: np.ndarray, mask: str, salt: int) -> np.ndarray:
@@ -163,7 +166,9 @@ def benchmark_matches(
     columns are ignored.
     """
     picked = docs.select(id_col, text_col)
-    schema = f"{id_col} {picked.schema[id_col].dataType.simpleString()}, {MATCHES}"
+    (name,) = fresh([id_col], "item_id")
+    kind = bench.schema[item_col].dataType
+    schema = f"`{id_col}` {picked.schema[id_col].dataType.simpleString()}, `{name}` {kind.simpleString()}, {MATCHES}"
     out = None
     for index in _indexes(bench, item_col, item_text, block_items, masks):
 
@@ -174,11 +179,11 @@ def benchmark_matches(
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(pa.array(row, pa.int64())),
-                        pa.array([index.ids[i] for i in item], pa.int64()),
+                        pa.array([index.ids[i] for i in item], to_arrow_type(kind)),
                         *(pa.array(x, pa.int32()) for x in (start, end, matched, size)),
                         pa.array([m / s for m, s in zip(matched, size, strict=True)], pa.float64()),
                     ],
-                    names=[id_col, "item_id", "start_word", "end_word", "matched_words", "item_words", "overlap"],
+                    names=[id_col, name, "start_word", "end_word", "matched_words", "item_words", "overlap"],
                 )
 
         found = picked.mapInArrow(run, schema)
@@ -190,7 +195,11 @@ def drop_contaminated(
     docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
     min_overlap: float = 0.7, min_words: int = 13, masks: tuple[str, ...] = MASKS, block_items: int = BLOCK_ITEMS,
 ) -> DataFrame:
-    """The rows of ``docs``, all columns, that hold no benchmark item in the sense of ``benchmark_matches``."""
+    """The rows of ``docs``, all columns, that hold no benchmark item in the sense of ``benchmark_matches``.
+
+    Null and empty texts hold none and stay; rows that repeat, and rows with a null id, are looked at apiece.
+    Very long texts are searched as a whole. Empty tables: no documents give none, no items keep all.
+    """
     place = docs.columns.index(text_col)
     out = docs
     for index in _indexes(bench, item_col, item_text, block_items, masks):

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, labelled_sample
+from .shared import fresh, labelled_sample, store, without
 
 #: Labelled rows that the classifier is fitted on, at most.
 TRAIN_ROWS = 4_000
@@ -31,9 +31,9 @@ TARGETS = {"en": 0.55, "fr": 0.17, "de": 0.16, "es": 0.12}
 
 
 def _words(text: str) -> Column:
-    """Pieces between single blanks, in lower case; none of an empty or null text."""
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(F.lower(body), " "))
+    """Words between ASCII white space, in lower case; none of an empty or null text."""
+    body = F.translate(F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))), "\t\n\x0b\x0c\r", "     ")
+    return F.array_remove(F.split(body, " "), "")
 
 
 def _barrier() -> Column:
@@ -47,25 +47,27 @@ def _bucket(word: Column) -> Column:
 
 @dataclass
 class DomainModel:
-    """Domains, their log priors, and a one-row table of weights: two domains to a 64-bit integer for each bucket."""
+    """Domains, their log priors, and weights by bucket: two domains to a 64-bit integer, listed with commas."""
 
     domains: list[str]
     priors: list[float]
-    weights: DataFrame
+    weights: list[str]
 
     def place(self, docs: DataFrame, text: str, n: str, p: str) -> DataFrame:
         """``docs`` with its number of words, and with the posterior in steps of 1/GRAIN, which add up to GRAIN."""
-        pairs = range(-(-len(self.domains) // 2))
-        plain = [c for c in docs.columns if c not in (n, p)]
+        pairs = range(len(self.weights))
+        plain = without(docs.columns, n, p)
+        buckets, sums = fresh([*plain, n, p], "_buckets", "_sums")
+        # constants, which every task has once; a column of them would be copied row by row
+        tables = [F.split(F.lit(w), ",").cast("array<bigint>") for w in self.weights]
         zero = F.struct(*[F.lit(0).cast("bigint").alias(f"s{i}") for i in pairs])
 
         def add(s: Column, bucket: Column) -> Column:
-            return F.struct(*[(s[f"s{i}"] + F.element_at(f"_w{i}", bucket)).alias(f"s{i}") for i in pairs])
+            return F.struct(*[(s[f"s{i}"] + F.element_at(tables[i], bucket)).alias(f"s{i}") for i in pairs])
 
-        # a subquery may not stand inside a fold, so the tables come as columns first
-        wide = docs.select(*plain, F.transform(_words(text), _bucket).alias("_buckets"), *[self.weights.select(f"w{i}").scalar().alias(f"_w{i}") for i in pairs])
-        summed = wide.select(*plain, (F.size("_buckets") + _barrier()).alias(n), F.aggregate("_buckets", zero, add).alias("_sums"))
-        return summed.select(*plain, n, self._shares(F.col("_sums"), F.col(n)).alias(p))
+        placed = docs.select(*plain, F.transform(_words(text), _bucket).alias(buckets))
+        summed = placed.select(*plain, (F.size(buckets) + _barrier()).alias(n), F.aggregate(buckets, zero, add).alias(sums))
+        return summed.select(*plain, n, self._shares(F.col(sums), F.col(n)).alias(p))
 
     def _shares(self, sums: Column, n: Column) -> Column:
         logs = []
@@ -109,8 +111,9 @@ def train_domains(labelled: DataFrame, text: str = "text", domain: str = "domain
     quantised = [F.least(F.greatest(F.round((x - mean) * SCALE) + ZERO, F.lit(0.0)), F.lit(2.0 * ZERO - 1)).cast("bigint") for x in logs]
     packed = [quantised[k] + (F.shiftleft(quantised[k + 1], 31) if k + 1 < len(domains) else F.lit(0).cast("bigint")) for k in range(0, len(domains), 2)]
     listed = filled.select("bucket", *[w.alias(f"w{i}") for i, w in enumerate(packed)])
-    weights = listed.agg(*[F.transform(F.array_sort(F.collect_list(F.struct("bucket", f"w{i}"))), lambda x: x[f"w{i}"]).alias(f"w{i}") for i in range(len(packed))])
-    return DomainModel(domains, priors, cut(weights))
+    entries = lambda i: F.transform(F.array_sort(F.collect_list(F.struct("bucket", f"w{i}"))), lambda x: x[f"w{i}"].cast("string"))
+    weights = listed.agg(*[F.array_join(entries(i), ",").alias(f"w{i}") for i in range(len(packed))]).first()
+    return DomainModel(domains, priors, list(weights))
 
 
 def _rate(p: Column, history: list[list[float]], least: float = 0.0) -> Column:
@@ -151,7 +154,7 @@ def solve_mix(docs: DataFrame, model: DomainModel, targets: dict[str, float], bu
     if unknown and model.domains != [""]:
         raise ValueError(f"no labelled documents of the target domains {unknown}")
     d = range(len(model.domains))
-    cells = cut(model.place(docs.select(text), text, "n", "p").groupBy("p").agg(F.sum("n").cast("double").alias("n")))
+    cells = store(model.place(docs.select(text), text, "n", "p").groupBy("p").agg(F.sum("n").cast("double").alias("n")))
 
     def totals(rate: Column) -> list[float]:
         row = cells.select("n", "p", rate.alias("r")).agg(*[F.sum(F.col("n") * F.col("r") * F.element_at("p", k + 1) / GRAIN) for k in d]).first()
@@ -188,11 +191,12 @@ def apply_mix(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text: str = "te
     a new one is replaced; an empty table gives an empty result.
     """
     new = ["n_tokens", "posterior", "rate", "copies"]
-    plain = [c for c in docs.columns if c not in new]
-    rows = mix.model.place(docs.select(plain), text, "n_tokens", "_p").withColumn("rate", _rate(F.col("_p"), mix.history, mix.least))
+    plain = without(docs.columns, *new)
+    (p,) = fresh([*plain, *new], "_p")
+    rows = mix.model.place(docs.select(plain), text, "n_tokens", p).withColumn("rate", _rate(F.col(p), mix.history, mix.least))
     chance = F.pmod(F.xxhash64(F.col(id_col), F.col(text)), F.lit(1 << 24)) / float(1 << 24)
     copies = (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("int") + _barrier()).cast("int")
-    return rows.select(*plain, "n_tokens", F.transform("_p", lambda x: x / GRAIN).alias("posterior"), "rate", copies.alias("copies"))
+    return rows.select(*plain, "n_tokens", F.transform(p, lambda x: x / GRAIN).alias("posterior"), "rate", copies.alias("copies"))
 
 
 def labelled_domains(docs: DataFrame, labels: DataFrame, domain: str = "lang", limit: int = TRAIN_ROWS) -> DataFrame:

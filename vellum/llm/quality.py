@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import held_out, labelled_sample
+from .shared import held_out, labelled_sample, labelled_texts, without
 from .words import Block, blocks, byte_table, find_words, hash_words, per_doc_sum
 
 #: Labelled rows that the model is fitted on, at most.
@@ -201,8 +201,7 @@ def fit_additive(x: np.ndarray, y: np.ndarray, rounds: int = 120, pair_rounds: i
 
 def train_quality(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> AdditiveModel:
     """A model from at most ``limit`` labelled documents that are not held out (see ``labelled_sample``)."""
-    sample = F.broadcast(labelled_sample(labels, "quality", limit))
-    rows = docs.select("doc_id", "text").join(sample, "doc_id").select("label", "text")
+    rows = labelled_texts(docs, labelled_sample(labels, "quality", limit))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,7 +226,7 @@ def score_quality(docs: DataFrame, model: AdditiveModel, text_col: str = "text")
     quality_score is replaced; an empty table gives an empty result.
     """
     place = docs.columns.index(text_col)
-    plain = [c for c in docs.columns if c != "quality_score"]
+    plain = without(docs.columns, "quality_score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

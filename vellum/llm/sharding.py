@@ -11,6 +11,9 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .shared import fresh, without
 
 _FACTOR = 2862933555777941757
 _MASK = 0xFFFFFFFF
@@ -64,35 +67,37 @@ def assign_shards(docs: DataFrame, shards: int, key: str = "doc_id", text: str =
     """``docs`` with size, text_crc32, law, shard, slot and grown_shard.
 
     size is the text's bytes in UTF-8 plus 16. shard follows from the key and the
-    shard count alone (a null key counts as 0), grown_shard is the shard with one
-    more. slot numbers the rows of a shard from 0 without gaps.
+    shard count alone (a null key counts as 0, one that is no integer by a hash of it as
+    a string), grown_shard is the shard with one more. slot numbers the rows of a shard from 0 without gaps.
 
     Slots are dealt by buckets of about ``rows_per_bucket`` rows: each bucket of a
     shard is numbered on its own, and the bucket's first slot is a running sum over
     the small table of bucket sizes, so no task ever holds a whole shard. A null
     text has size 16 and the CRC of nothing, like an empty one. Rows that agree in
     key and text get adjacent slots in any order. An input column that is called
-    like one of the new ones is replaced.
+    like one of the new ones is replaced; an empty table gives an empty result.
     """
     new = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
     buckets = 2 * (docs.count() // (2 * rows_per_bucket)) + 1
-    body, k = F.coalesce(F.col(text).cast("string"), F.lit("")), F.coalesce(F.col(key).cast("bigint"), F.lit(0).cast("bigint"))
+    whole = isinstance(docs.schema[key].dataType, T.IntegralType)
+    body, k = F.coalesce(F.col(text).cast("string"), F.lit("")), F.coalesce(F.col(key).cast("bigint") if whole else F.xxhash64(F.col(key).cast("string")), F.lit(0).cast("bigint"))
+    kept = without(docs.columns, *new)
+    bucket, n, first, row = fresh([*docs.columns, *new], "_bucket", "_n", "_first", "_row")
     rows = docs.select(
-        *[c for c in docs.columns if c not in new],
+        *kept,
         (F.octet_length(body).cast("bigint") + 16).alias("size"),
         F.crc32(body.cast("binary")).alias("text_crc32"),
         F.lit("key").alias("law"),
         jump_hash(k, shards).alias("shard"),
         jump_hash(k, shards + 1).alias("grown_shard"),
-        F.pmod(k, F.lit(buckets)).cast("int").alias("_bucket"),
+        F.pmod(F.xxhash64(k, body), F.lit(buckets)).cast("int").alias(bucket),
     )
-    counts = rows.groupBy("shard", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = counts.select("shard", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    within = Window.partitionBy("shard", "_bucket").orderBy(F.col(key), "text_crc32", "size")
-    numbered = rows.withColumn("_row", F.row_number().over(within)).join(firsts, ["shard", "_bucket"])
-    kept = [c for c in docs.columns if c not in new]
-    return numbered.select(*kept, "size", "text_crc32", "law", "shard", (F.col("_first") + F.col("_row") - 1).cast("bigint").alias("slot"), "grown_shard")
+    counts = rows.groupBy("shard", bucket).agg(F.count(F.lit(1)).alias(n))
+    before = Window.partitionBy("shard").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = counts.select("shard", bucket, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(first))
+    within = Window.partitionBy("shard", bucket).orderBy(F.col(key), "text_crc32", "size")
+    numbered = rows.withColumn(row, F.row_number().over(within)).join(firsts, ["shard", bucket])
+    return numbered.select(*kept, "size", "text_crc32", "law", "shard", (F.col(first) + F.col(row) - 1).cast("bigint").alias("slot"), "grown_shard")
 
 
 def op8_jump_sharding(spark, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, held_out, labelled_sample
+from .shared import held_out, labelled_sample, labelled_texts, store, without
 from .words import NOT_ALNUM, Block, blocks, find_words, lower_latin
 
 #: Labelled rows that lexicon and weights are fitted on, at most.
@@ -264,7 +264,7 @@ def learn_lexicon(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]
     share = n1 / (n0 + n1)
     # each row with a number of its own: rows that repeat count apiece
     words = sample.withColumn("row", F.monotonically_increasing_id()).select("row", "label", F.explode(tokens).alias("word")).where(F.length("word") >= 3)
-    held = cut(words.groupBy("row", "label", "word").agg(F.count(F.lit(1)).alias("n")))
+    held = store(words.groupBy("row", "label", "word").agg(F.count(F.lit(1)).alias("n")))
 
     def tested(rows: DataFrame, key: str) -> dict[str, tuple]:
         """By term: toxic and clean documents that have it, that have it twice, the words that it opens in them, and its log odds a word."""
@@ -290,7 +290,7 @@ def learn_lexicon(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]
         F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.max("toxic").alias("largest"), F.count_if(F.col("toxic") > 0).alias("words")
     )
     likelier = F.col("toxic") * max(words0, 1) >= F.lit(LIKELIER) * F.col("clean") * max(words1, 1)
-    promising = cut(opened.where(likelier & F.expr("toxic >= 3 AND words >= 3 AND largest <= 0.8 * toxic")).select("stem"))
+    promising = store(opened.where(likelier & F.expr("toxic >= 3 AND words >= 3 AND largest <= 0.8 * toxic")).select("stem"))
     of_stem = held.where(F.length("word") > 3).select("row", "label", "n", F.explode(opens).alias("stem")).join(promising, "stem")
     candidates = tested(of_stem.groupBy("row", "label", "stem").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")), "stem")
     bar = math.log10(0.5 / max(every, len(candidates), 1))
@@ -324,7 +324,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS)
 
     Without labels of both kinds the lexicon is empty and every score is the smoothed share of toxic rows.
     """
-    sample = docs.select("doc_id", "text").join(F.broadcast(labelled_sample(labels, "toxic", limit)), "doc_id").select("label", "text")
+    sample = store(labelled_texts(docs, labelled_sample(labels, "toxic", limit)))
     lexicon, stems = learn_lexicon(sample)
     model = ToxicityModel(LexiconAutomaton(list(lexicon), list(stems)), np.array(list(lexicon.values())), np.array(list(stems.values())))
 
@@ -353,7 +353,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
     toxicity is replaced; an empty table gives an empty result.
     """
     place = docs.columns.index(text_col)
-    plain = [c for c in docs.columns if c != "toxicity"]
+    plain = without(docs.columns, "toxicity")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
