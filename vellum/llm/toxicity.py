@@ -11,6 +11,8 @@ lookup a byte tells for every word which term it is, or is a misspelling of.
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -23,7 +25,7 @@ from .shared import held_out, labelled_sample, labelled_texts, store, without
 from .words import NOT_ALNUM, Block, blocks, find_words, lower_latin
 
 #: Labelled rows that lexicon and weights are fitted on, at most.
-TRAIN_ROWS = 16_000
+TRAIN_ROWS = 8_000
 #: How much likelier a term must be in toxic documents than in others.
 LIKELIER = 9
 THRESHOLD = 0.3
@@ -37,6 +39,7 @@ REPORTING = ("said", "says", "wrote", "writes", "called", "quote", "quoted", "qu
 ADDRESS = ("you", "your", "youre", "u", "ur")
 _QUOTES = ('"', "'", "“", "”", "‘", "’", "«", "»")
 
+_WORD = re.compile(r"(?:[^\W_]|@)+")
 _FOLD = np.arange(256, dtype=np.uint8)
 for _sign, _letter in LOOKALIKES.items():
     _FOLD[ord(_sign)] = ord(_letter)
@@ -247,6 +250,31 @@ def _surprise(toxic: int, clean: int, share: float) -> float:
     return -n * divergence / math.log(10)
 
 
+def _counted_words(sample: DataFrame, stems: set[str] | None) -> DataFrame:
+    """(label, word, n, words) of each document of (label, text) rows: each of its words of three letters and more, or each of ``stems`` that opens some, with the
+    number of places and of different words. The empty word stands for all of a document's words.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple[int, str, int, int]] = []
+            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = Counter(_WORD.findall((text or "").lower()))
+                rows.append((label, "", words.total(), len(words)))
+                found: dict[str, list[int]] = {}
+                for word, n in words.items():
+                    for term in [word] if stems is None else [word[:k] for k in range(3, len(word)) if word[:k] in stems]:
+                        if len(term) >= 3:
+                            at = found.setdefault(term, [0, 0])
+                            at[0] += n
+                            at[1] += 1
+                rows.extend((label, term, n, different) for term, (n, different) in found.items())
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["label", "word", "n", "words"])
+
+    return sample.select("label", "text").mapInArrow(run, "label int, word string, n long, words long")
+
+
 def learn_lexicon(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     """Words and stems with their log odds, from (label, text) rows: those too toxic for chance.
 
@@ -256,16 +284,13 @@ def learn_lexicon(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]
     A stem opens at least three words of toxic documents, and stands for all that it opens.
     The sample is bounded, and so are the terms.
     """
-    tokens = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"([\p{L}\p{N}@]+)"), 1)
-    totals = {r["label"]: (r["n"], r["words"] or 0) for r in sample.select("label", F.size(tokens).alias("m")).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("m").alias("words")).collect()}
+    held = store(_counted_words(sample, None))
+    totals = {r["label"]: (r["docs"], r["words"] or 0) for r in held.groupBy("label").agg(F.count_if(F.col("word") == "").alias("docs"), F.sum(F.when(F.col("word") == "", F.col("n"))).alias("words")).collect()}
+    held = held.where("word <> ''")
     if 1 not in totals or 0 not in totals:
         return {}, {}
     (n1, words1), (n0, words0) = totals[1], totals[0]
     share = n1 / (n0 + n1)
-    # each row with a number of its own: rows that repeat count apiece
-    words = sample.withColumn("row", F.monotonically_increasing_id()).select("row", "label", F.explode(tokens).alias("word")).where(F.length("word") >= 3)
-    held = store(words.groupBy("row", "label", "word").agg(F.count(F.lit(1)).alias("n")))
-
     def tested(rows: DataFrame, key: str) -> dict[str, tuple]:
         """By term: toxic and clean documents that have it, that have it twice, the words that it opens in them, and its log odds a word."""
         of = lambda label, least: F.count_if((F.col("label") == label) & (F.col("n") >= least))
@@ -282,7 +307,7 @@ def learn_lexicon(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]
 
     every = held.groupBy("word").agg(F.count(F.lit(1)).alias("docs")).where("docs >= 3").count()
     bar = math.log10(0.5 / max(every, 1))
-    lexicon = {w: c[-1] for w, c in tested(held.withColumn("words", F.lit(1)), "word").items() if telling(c, bar)}
+    lexicon = {w: c[-1] for w, c in tested(held, "word").items() if telling(c, bar)}
     # stems, by what the words that they open add up to; no single word may make most of it
     opens = F.transform(F.sequence(F.lit(3), F.length("word") - 1), lambda k: F.substring("word", F.lit(1), k))
     by_word = held.groupBy("word").agg(*[F.sum(F.when(F.col("label") == label, F.col("n")).otherwise(0)).alias(name) for label, name in ((1, "toxic"), (0, "clean"))])
@@ -290,9 +315,8 @@ def learn_lexicon(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]
         F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.max("toxic").alias("largest"), F.count_if(F.col("toxic") > 0).alias("words")
     )
     likelier = F.col("toxic") * max(words0, 1) >= F.lit(LIKELIER) * F.col("clean") * max(words1, 1)
-    promising = store(opened.where(likelier & F.expr("toxic >= 3 AND words >= 3 AND largest <= 0.8 * toxic")).select("stem"))
-    of_stem = held.where(F.length("word") > 3).select("row", "label", "n", F.explode(opens).alias("stem")).join(promising, "stem")
-    candidates = tested(of_stem.groupBy("row", "label", "stem").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")), "stem")
+    promising = {r["stem"] for r in opened.where(likelier & F.expr("toxic >= 3 AND words >= 3 AND largest <= 0.8 * toxic")).select("stem").collect()}
+    candidates = tested(_counted_words(sample, promising).where("word <> ''"), "word")
     bar = math.log10(0.5 / max(every, len(candidates), 1))
     good = {p: c for p, c in candidates.items() if telling(c, bar)}
     stems: dict[str, float] = {}
