@@ -32,8 +32,8 @@ TARGETS = {"en": 0.55, "fr": 0.17, "de": 0.16, "es": 0.12}
 
 def _words(text: str) -> Column:
     """Words between ASCII white space, in lower case; none of an empty or null text."""
-    body = F.translate(F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))), "\t\n\x0b\x0c\r", "     ")
-    return F.array_remove(F.split(body, " "), "")
+    body = F.lower(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    return F.array_remove(F.split(body, r"[\x20\x09-\x0D]+"), "")
 
 
 def _barrier() -> Column:
