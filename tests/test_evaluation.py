@@ -43,7 +43,9 @@ def test_table_lengths_and_plans(spark, tmp_path):
     chunks = spark.createDataFrame([("a", "table", "x" * n) for n in (10, 20, 2000)] + [("b", "table", "y"), ("b", "code", "z")], "source_file string, kind string, content string")
     got = {r["source_file"]: tuple(r)[1:] for r in E.table_lengths(chunks).collect()}
     assert got == {"a": (3, 20, 2000, 2000, 1), "b": (1, 1, 1, 1, 0), "total": (4, 10, 2000, 2000, 1)}
-    chunks.write.parquet(str(tmp_path / "chunks"))
-    plan = spark.read.parquet(str(tmp_path / "chunks")).where(F.col("kind") == "table").select("source_file")._jdf.queryExecution().executedPlan().toString()
-    (scan,) = E.scan_of(plan, "chunks")
-    assert "EqualTo(kind,table)" in scan and "content" not in scan.split("ReadSchema")[1]
+    deep = tmp_path / ("long" * 20) / "chunks"
+    chunks.write.parquet(str(deep))
+    kept = spark.read.parquet(str(deep)).where(F.col("kind") == "table").select("source_file")
+    (scan,) = E.scan_of(kept, "chunks")
+    assert "EqualTo(kind,table)" in scan["pushed"] and "content" not in scan["columns"] and "source_file" in scan["columns"]
+    assert E.scan_of(kept, "other") == []

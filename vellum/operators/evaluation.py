@@ -91,6 +91,17 @@ def judged_at_levels(pool: DataFrame, snippets: tuple[int, ...]) -> DataFrame:
     return at.groupBy("question_id", "level").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", entry.alias("e")))), lambda x: x["e"]), "\n").alias("candidates"))
 
 
-def scan_of(plan: str, table: str) -> list[str]:
-    """The scans in a plan's text that read ``table``: what is filtered, pushed down and read of it alone."""
-    return [line.strip() for line in plan.splitlines() if "FileScan" in line and f"/{table}" in line]
+def scan_of(df: DataFrame, table: str) -> list[dict[str, str]]:
+    """The scans of ``df``'s plan that read ``table``, a folder or file: columns read, filters, and filters pushed down.
+
+    What is read comes from the scan's own relation, as Spark shortens long paths in the text of a plan.
+    """
+    leaves, found = df._jdf.queryExecution().sparkPlan().collectLeaves(), []
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if "FileSourceScan" in leaf.getClass().getSimpleName():
+            roots = leaf.relation().location().rootPaths()
+            names = [roots.apply(k).toString().rstrip("/").rsplit("/", 1)[-1] for k in range(roots.size())]
+            if table in {n.removesuffix(".parquet") for n in names} | set(names):
+                found.append({"columns": leaf.requiredSchema().simpleString(), "filters": leaf.dataFilters().mkString(" AND "), "pushed": leaf.metadata().apply("PushedFilters")})
+    return found

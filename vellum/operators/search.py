@@ -12,14 +12,15 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import one_line, tokens
 from .access import Access
 
-#: Queries of one block, and the largest number of them whose words are broadcast.
-QUERY_BLOCK, BROADCAST_QUERIES = 1024, 20_000
+#: Queries of one scan, and queries and chunks of one product of word counts.
+QUERY_BLOCK, QUERIES_AT_A_TIME, CHUNKS_AT_A_TIME = 1024, 128, 512
 RRF_K = 60
 #: Scores are rounded before they rank, so that sums in another order rank alike.
 DIGITS = 6
@@ -55,11 +56,7 @@ def vector_topk(chunks: DataFrame, queries: DataFrame, k: int, access: Access =
                 with np.errstate(invalid="ignore", divide="ignore"):
                     score = np.round(vectors @ x.T / below * batch.column(2).to_numpy(), DIGITS)
                 score[~(below > 0)] = -np.inf
-                names = batch.column(0).to_numpy()
-                best = np.lexsort([np.broadcast_to(names, score.shape), -score], axis=1)[:, :k]
-                at = np.arange(len(ids))[:, None]
-                kept = np.isfinite(score[at, best])
-                yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[:, None], best.shape)[kept]), pa.array(names[best][kept]), pa.array(score[at, best][kept])], names=["query_id", "chunk_id", "score"])
+                yield _best(ids, batch.column(0).to_numpy(), score, score, k)
 
         own = seen.mapInArrow(run, "query_id long, chunk_id long, score double")
         found = own if found is None else found.unionByName(own)
@@ -74,21 +71,60 @@ def postings(chunks: DataFrame, extra: str | None = None) -> DataFrame:
     return chunks.select("chunk_id", F.explode(tokens(text)).alias("token")).groupBy("chunk_id", "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def lexical_topk(chunks: DataFrame, queries: DataFrame, k: int, access: Access = Access(), extra: str | None = None) -> DataFrame:
+def lexical_topk(chunks: DataFrame, queries: DataFrame, k: int, access: Access = Access(), extra: str | None = None, block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, chunk_id, score, rank) by words: the mean over a query's distinct words of tf / (tf + 1), times weight.
 
-    A query without words finds nothing. Words are joined before they are counted, so
-    only those that some query has are shuffled.
+    A query without words finds nothing. Words travel as hashes of 64 bits; every batch of chunks counts those that some
+    query asks for, scores all queries by one matrix product, and gives its own best k of each.
     """
-    asked = queries.select("query_id", F.array_distinct(tokens(F.col("question"))).alias("words")).where(F.size("words") > 0)
-    terms = asked.select("query_id", F.size("words").alias("n"), F.explode("words").alias("token"))
-    if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
-        terms = F.broadcast(terms)
+    hashed = lambda text: F.transform(tokens(text), lambda t: F.xxhash64(t))
     text = F.col("content") if extra is None else F.concat_ws(" ", "content", extra)
-    words = access.visible(chunks).select("chunk_id", "weight", F.explode(tokens(text)).alias("token"))
-    hits = words.join(terms, "token").groupBy("query_id", "chunk_id", "token").agg(F.count(F.lit(1)).alias("tf"), F.first("n").alias("n"), F.first("weight").alias("weight"))
-    scored = hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("tf") / (F.col("tf") + 1)) / F.first("n") * F.first("weight"), DIGITS).alias("score"))
-    return ranked(scored, k)
+    words = access.visible(chunks).select(F.col("chunk_id").cast("long"), F.col("weight").cast("double"), hashed(text).alias("words"))
+    asked = queries.select(F.col("query_id").cast("long"), F.array_distinct(hashed(F.col("question"))).alias("words")).where(F.size("words") > 0)
+    rows, found = asked.toLocalIterator(), None
+    while part := list(islice(rows, block)):
+        groups = []
+        for lo in range(0, len(part), QUERIES_AT_A_TIME):
+            group = part[lo : lo + QUERIES_AT_A_TIME]
+            vocabulary = np.unique(np.concatenate([np.array(r["words"], np.int64) for r in group]))
+            wanted = np.zeros((len(vocabulary), len(group)))
+            for q, r in enumerate(group):
+                wanted[np.searchsorted(vocabulary, np.array(r["words"], np.int64)), q] = 1.0
+            groups.append((np.array([r["query_id"] for r in group], np.int64), vocabulary, wanted, wanted.sum(axis=0)))
+
+        def run(batches: Iterator[pa.RecordBatch], groups: list = groups) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for lo in range(0, whole.num_rows, CHUNKS_AT_A_TIME):
+                    batch = whole.slice(lo, CHUNKS_AT_A_TIME)
+                    lists, names, weight = batch.column(2), batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                    said = lists.flatten().to_numpy()
+                    row = np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(lists).to_numpy())
+                    for ids, vocabulary, wanted, size in groups:
+                        at = np.minimum(np.searchsorted(vocabulary, said), len(vocabulary) - 1)
+                        hit = vocabulary[at] == said
+                        tf = np.bincount(row[hit] * len(vocabulary) + at[hit], minlength=batch.num_rows * len(vocabulary)).reshape(batch.num_rows, -1)
+                        score = (((tf / (tf + 1.0)) @ wanted) / size * weight[:, None]).T
+                        yield _best(ids, names, np.where(score > 0, score, -np.inf), np.floor(score * 10**DIGITS + 0.5), k)
+
+        own = words.mapInArrow(run, "query_id long, chunk_id long, score double")
+        found = own if found is None else found.unionByName(own)
+    if found is None:
+        found = chunks.sparkSession.createDataFrame([], "query_id long, chunk_id long, score double")
+    return ranked(found.withColumn("score", F.round("score", DIGITS)), k)
+
+
+def _best(ids: np.ndarray, names: np.ndarray, score: np.ndarray, order: np.ndarray, k: int) -> pa.RecordBatch:
+    """The k best of each row of ``score``, by ``order`` and then by name; minus infinity is no hit."""
+    order = np.where(np.isfinite(score), order, -np.inf)
+    reach = min(k, order.shape[1])
+    # all that reach the k-th place, ties too, and only those are sorted
+    bar = -np.partition(-order, reach - 1, axis=1)[:, reach - 1]
+    q, c = np.nonzero((order >= bar[:, None]) & np.isfinite(score))
+    sort = np.lexsort([names[c], -order[q, c], q])
+    q, c = q[sort], c[sort]
+    place = np.arange(len(q)) - np.searchsorted(q, q)
+    q, c = q[place < k], c[place < k]
+    return pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(names[c]), pa.array(score[q, c])], names=["query_id", "chunk_id", "score"])
 
 
 def fuse(lists: DataFrame, k: int = RRF_K) -> DataFrame:
@@ -137,9 +173,11 @@ def retrieve(
     reach = max(top_k, candidates) if reranker else top_k
     arms = [vector_topk(chunks, queries, reach, access).withColumn("list_no", F.lit(1))]
     if variants is not None:
-        numbered = variants.withColumn("pair", F.col("query_id") * 1000 + F.col("variant_no"))
-        more = vector_topk(chunks, numbered.select(F.col("pair").alias("query_id"), "embedding"), reach, access)
-        arms.append(more.withColumn("list_no", (F.col("query_id") % 1000).cast("int") + 1).withColumn("query_id", F.floor(F.col("query_id") / 1000)))
+        # each variant with a number of its own, however many there are
+        order = Window.orderBy("query_id", "variant_no")
+        numbered = variants.select("query_id", "variant_no", "embedding", (F.row_number().over(order)).cast("long").alias("pair"))
+        more = vector_topk(chunks, numbered.select(F.col("pair").alias("query_id"), "embedding"), reach, access).withColumnRenamed("query_id", "pair")
+        arms.append(more.join(numbered.select("pair", "query_id", (F.col("variant_no") + 1).cast("int").alias("list_no")), "pair").drop("pair"))
     vector_hits = arms[0] if len(arms) == 1 else arms[0].unionByName(arms[1])
     if hybrid:
         arms.insert(0, lexical_topk(chunks, queries, reach, access).withColumn("list_no", F.lit(0)))
