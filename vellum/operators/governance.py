@@ -26,12 +26,21 @@ def multiset_difference(before: DataFrame, after: DataFrame, value: str) -> Data
     return counted.where("_n <> 0").select(value, F.greatest("_n", F.lit(0)).alias("added"), F.greatest(-F.col("_n"), F.lit(0)).alias("removed"))
 
 
-def fingerprint(rows: DataFrame, order: list[str], value: Column, buckets: int = 256) -> DataFrame:
-    """(n, fingerprint) of rows: MD5 of the MD5s of buckets of ordered values, so that no task has to hold them all."""
-    keyed = rows.select(*order, F.coalesce(value.cast("string"), F.lit("\\N")).alias("_v"), F.pmod(F.crc32(F.concat_ws("|", *[F.col(c).cast("string") for c in order]).cast("binary")), F.lit(buckets)).alias("_b"))
+def fingerprint(rows: DataFrame, order: list[str], value: Column, per_bucket: int = 10_000) -> DataFrame:
+    """(n, fingerprint) of rows: MD5 of the MD5s of buckets of ordered values, so that no task has to hold them all.
+
+    Buckets are the first hexadecimal digits of the key's MD5, two at least and as many as keep ``per_bucket`` rows in each.
+    """
+    digits, size = 2, rows.count()
+    while 16**digits * per_bucket < size:
+        digits += 1
+    key = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in order]).cast("binary"))
+    keyed = rows.select(*order, F.coalesce(value.cast("string"), F.lit("\\N")).alias("_v"), F.left(key, F.lit(digits)).alias("_b"))
     listed = F.array_sort(F.collect_list(F.struct(*order, "_v")))
     parts = keyed.groupBy("_b").agg(F.md5(F.array_join(F.transform(listed, lambda x: x["_v"]), "|").cast("binary")).alias("_h"), F.count(F.lit(1)).alias("_n"))
-    return parts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_b", "_h"))), lambda x: x["_h"]), "|").cast("binary")).alias("fingerprint"))
+    # buckets are summed up by their first two digits before they meet
+    upper = parts.groupBy(F.left("_b", F.lit(2)).alias("_b")).agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_b", "_h"))), lambda x: x["_h"]), "|").cast("binary")).alias("_h"), F.sum("_n").alias("_n"))
+    return upper.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_b", "_h"))), lambda x: x["_h"]), "|").cast("binary")).alias("fingerprint"))
 
 
 def reproducible(fingerprints: DataFrame) -> DataFrame:
@@ -97,7 +106,12 @@ def unchanged(new_chunks: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def unlanded(questions: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(question_id, span) that no chunk of the expected source has: with any, figures aren't to be reported."""
+    """(question_id, span) that no chunk of the expected source has: with any, figures aren't to be reported.
+
+    Questions are few beside chunks: the spans of a source travel as one list to its chunks, which say which of them they hold.
+    """
     asked = questions.select("question_id", "source", F.explode("spans").alias("span"))
-    held = asked.join(chunks.select(F.col("source_file").alias("source"), "content"), "source").where(F.contains("content", F.col("span"))).select("question_id", "span")
-    return asked.select("question_id", "span").join(held.distinct(), ["question_id", "span"], "left_anti")
+    wanted = asked.groupBy("source").agg(F.collect_set("span").alias("spans"))
+    there = chunks.select(F.col("source_file").alias("source"), "content").join(wanted, "source")
+    held = there.select("source", F.explode(F.filter("spans", lambda s: F.contains(F.col("content"), s))).alias("span")).distinct()
+    return asked.join(held, ["source", "span"], "left_anti").select("question_id", "span")

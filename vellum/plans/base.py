@@ -344,6 +344,15 @@ def _numbers(text: str) -> str:
 
 
 ORACLE_SQL = {
+    "fn_number_shift": r"""WITH l AS (SELECT doc_id, CAST(unnest(range(len(p))) AS INTEGER) AS line_no, unnest(p) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)),
+        s AS (SELECT doc_id, line_no, string_split_regex(line, '\d+') AS g, regexp_extract_all(line, '\d+') AS n FROM l WHERE regexp_matches(line, '[0-9]'))
+        SELECT doc_id, line_no, array_to_string(list_transform(range(1, len(g) + 1), lambda i: g[i] || coalesce(CAST(CAST(n[i] AS DECIMAL(38, 0)) + 7 AS VARCHAR), '')), '') AS line FROM s""",
+    "fn_url_id": """SELECT page_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (instr('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS id
+        FROM (SELECT page_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(url)) AS h FROM pages)""",
+    "agg_build_fingerprint": """WITH v AS (SELECT 'content' AS what, doc_id AS k, sha256(text) AS v FROM documents
+            UNION ALL SELECT 'vectors', vec_id, len(embedding) || ':' || format('{:.4f}', sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) FROM embeddings),
+        b AS (SELECT what, substr(md5(CAST(k AS VARCHAR)), 1, 2) AS b, md5(md5(string_agg(v, '|' ORDER BY k))) AS h, count(*) AS n FROM v GROUP BY 1, 2)
+        SELECT CAST(sum(n) AS BIGINT) AS n, md5(string_agg(h, '|' ORDER BY b)) AS fingerprint, what FROM b GROUP BY what""",
     "fn_heading_lines": f"WITH {SQL} SELECT doc_id, count(*) FILTER (WHERE {_HEADING}) AS headings, count(*) AS lines FROM lines GROUP BY 1",
     "fn_sentence_split": "SELECT doc_id, CAST(len(s) AS INTEGER) AS sentences, CAST(list_max(list_transform(s, lambda x: length(x))) AS INTEGER) AS longest FROM (SELECT doc_id, regexp_extract_all(text, '[^。！？!?；;]*[。！？!?；;]|[^。！？!?；;]+$') AS s FROM documents)",
     "fn_token_counts": f"SELECT doc_id, CAST(len(w) AS INTEGER) AS tokens, CAST(len(list_distinct(w)) AS INTEGER) AS distinct_tokens FROM (SELECT doc_id, {_TOKENS.format('text')} AS w FROM documents)",

@@ -221,7 +221,46 @@ _SOFT_HITS = """
 """
 _BEST = ", best AS (SELECT h.*, e.embedding, e.source_file FROM vhits h JOIN embedded e USING (chunk_id) WHERE h.rank <= 5)"
 
+#: The whole search of a reader: both arms under the access rule, fused, filled and reranked.
+_STAGES = r"""
+    , seen AS (SELECT * FROM chunks WHERE NOT is_deleted AND NOT is_deprecated AND secret_level <= 2 AND department IN ('en', 'fr')),
+    larm AS (
+        SELECT 0 AS list_no, query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank
+        FROM (SELECT query_id, chunk_id, round(sum(tf / (tf + 1)) / any_value(n), 6) AS score FROM words JOIN asked USING (token) JOIN seen USING (chunk_id) GROUP BY 1, 2)
+        QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 20
+    ), varm AS (
+        SELECT 1 AS list_no, query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank
+        FROM (SELECT b.item_id AS query_id, c.chunk_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score
+              FROM seen c JOIN embeddings e ON e.vec_id = c.chunk_id, embeddings q JOIN benchmark b ON b.item_id = q.vec_id)
+        QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 20
+    ), joined AS (
+        SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf, min(list_no) AS first_list, arg_min(rank, list_no) AS first_rank, arg_min(score, list_no) AS score
+        FROM (SELECT * FROM larm UNION ALL SELECT * FROM varm) GROUP BY 1, 2
+    ), pool AS (
+        SELECT * FROM (SELECT j.query_id, j.chunk_id, coalesce(v.score, j.score) AS score, CAST(row_number() OVER (PARTITION BY j.query_id ORDER BY rrf DESC, first_list, first_rank, j.chunk_id) AS INTEGER) AS rank
+                       FROM joined j LEFT JOIN varm v USING (query_id, chunk_id)) WHERE rank <= 20
+    ), judged AS (
+        SELECT p.query_id, p.chunk_id, p.score, p.rank AS before, round(len(list_intersect(a.w, list_filter(string_split_regex(lower(c.content), '[^\p{L}\p{N}_]+'), lambda t: t <> ''))) / len(a.w), 6) AS share
+        FROM pool p JOIN asked_words a USING (query_id) JOIN chunks c USING (chunk_id)
+    ), final AS (SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY share DESC, before, chunk_id) AS INTEGER) AS rank FROM judged QUALIFY rank <= 5)
+"""
+_DELTAS = r"""
+    , scoped AS (
+        SELECT 'hard' AS config, q.vec_id AS query_id, c.chunk_id, round(list_cosine_similarity(CAST(c.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score
+        FROM embedded c, embeddings q WHERE q.vec_id % 50 = 0 AND NOT c.is_deleted AND NOT c.is_deprecated AND c.secret_level <= 2 AND c.department IN ('en', 'fr')
+        UNION ALL SELECT 'soft', q.vec_id, c.chunk_id, round(list_cosine_similarity(CAST(c.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) * CASE WHEN c.department IN ('en', 'fr') THEN 1.0 ELSE 0.85 END, 6)
+        FROM embedded c, embeddings q WHERE q.vec_id % 50 = 0 AND NOT c.is_deleted AND NOT c.is_deprecated AND c.secret_level <= 2
+    ), top AS (SELECT *, row_number() OVER (PARTITION BY config, query_id ORDER BY score DESC, chunk_id) AS rank FROM scoped QUALIFY rank <= 20),
+    firsts AS (
+        SELECT t.config, t.query_id, min(CASE WHEN e.label = q.label AND t.chunk_id <> t.query_id THEN t.rank END) AS rank
+        FROM top t JOIN embeddings e ON e.vec_id = t.chunk_id JOIN embeddings q ON q.vec_id = t.query_id GROUP BY 1, 2
+    ), rates AS (SELECT config, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0 END), 6) AS recall_1, round(avg(CASE WHEN rank <= 3 THEN 1.0 ELSE 0 END), 6) AS recall_3, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0 END), 6) AS recall_5, round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr FROM firsts GROUP BY 1),
+    long AS (SELECT config, unnest(['recall_1', 'recall_3', 'recall_5', 'mrr']) AS metric, unnest([recall_1, recall_3, recall_5, mrr]) AS value FROM rates)
+"""
+
 ORACLE_SQL = {
+    "jn_retrieval_stages": f"WITH {SQL} {_RERANKED} {_STAGES} SELECT 'candidate' AS stage, query_id, chunk_id, score, rank FROM pool UNION ALL SELECT 'final', query_id, chunk_id, score, rank FROM final",
+    "agg_mode_deltas": f"WITH {SQL} {_DELTAS} SELECT h.metric, h.value AS hard, s.value AS soft, round(s.value - h.value, 6) AS delta FROM long h JOIN long s USING (metric) WHERE h.config = 'hard' AND s.config = 'soft'",
     "flt_acl_hard": f"WITH {SQL} SELECT chunk_id, department, secret_level FROM chunks WHERE NOT is_deleted AND NOT is_deprecated AND secret_level <= 2 AND department IN ('en', 'fr')",
     "flt_acl_soft_weight": f"WITH {SQL} SELECT chunk_id, department, CASE WHEN department IN ('en', 'fr') THEN 1.0 ELSE 0.85 END AS weight FROM chunks WHERE NOT is_deleted AND NOT is_deprecated AND secret_level <= 2",
     "flt_scope_rule": "SELECT DISTINCT lang, lang || ',company' AS scope FROM documents",

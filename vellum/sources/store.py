@@ -1,8 +1,8 @@
 """Stored documents and chunks as versions of Parquet tables.
 
-A change writes a new version of what it touches and then switches a pointer, a small
-file that is replaced as a whole: readers see the table before or after, never
-between, and a path that is being read is never overwritten. Chunks are partitioned
+A change writes a new version of what it touches and then adds a pointer, a small
+file whose name has the number of the change: readers see the table before or after, never
+between, a path that is being read is never overwritten, and of two writers at once one fails. Chunks are partitioned
 by a bucket of the document id; buckets that a change doesn't touch keep their files.
 """
 
@@ -11,12 +11,21 @@ from __future__ import annotations
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import STATUSES, checked_store
 
 
+#: Pointer files begin so and end with the number of the change; the last one counts.
+POINTER = "current-"
+
+
+class ConcurrentChange(RuntimeError):
+    """Two writers changed a table at once; the later one has to repeat its change."""
+
+
 class Table:
     """A table of ``buckets`` parts by ``key``, of which each change replaces those that it touches."""
 
@@ -25,30 +34,45 @@ class Table:
         self.root = f"{root.rstrip('/')}/{checked_store(kb)}/{name}"
 
     def _fs(self):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/current.json")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
         return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def parts(self) -> dict[str, str]:
-        """Path of each bucket that has rows."""
+    def _current(self) -> tuple[int, dict[str, str]]:
+        """Number of the last change, and the path of each bucket that has rows."""
         path, fs = self._fs()
         if not fs.exists(path):
-            return {}
-        stream = fs.open(path)
+            return 0, {}
+        names = [s.getPath().getName() for s in fs.listStatus(path)]
+        last = max((int(n[len(POINTER) : -5]) for n in names if n.startswith(POINTER) and n.endswith(".json")), default=0)
+        if not last:
+            return 0, {}
+        stream = fs.open(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{POINTER}{last:012d}.json"))
         try:
-            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            return last, json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
 
-    def _switch(self, parts: dict[str, str]) -> None:
+    def parts(self) -> dict[str, str]:
+        """Path of each bucket that has rows."""
+        return self._current()[1]
+
+    def _switch(self, parts: dict[str, str], after: int) -> None:
+        """Makes ``parts`` the table, as the change that follows ``after``; an error if another writer has made one."""
         path, fs = self._fs()
-        fresh = path.suffix(f".{uuid.uuid4().hex}")
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        fresh, to = hadoop.Path(f"{self.root}/.{uuid.uuid4().hex}"), hadoop.Path(f"{self.root}/{POINTER}{after + 1:012d}.json")
         stream = fs.create(fresh, True)
         stream.write(bytearray(json.dumps(parts).encode()))
         stream.close()
-        context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fresh.toUri() if fresh.toUri().getScheme() else fs.getUri(), self.spark._jsc.hadoopConfiguration())
-        options = self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = self.spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context.rename(fs.makeQualified(fresh), fs.makeQualified(path), options)
+        context = hadoop.FileContext.getFileContext(fresh.toUri() if fresh.toUri().getScheme() else fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        try:
+            # without OVERWRITE a rename onto a file that is there fails
+            context.rename(fs.makeQualified(fresh), fs.makeQualified(to), self.spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 0))
+        except Py4JJavaError as error:
+            if "FileAlreadyExistsException" not in str(error.java_exception):
+                raise
+            fs.delete(fresh, False)
+            raise ConcurrentChange(f"another writer has changed {self.root}; read it again and repeat") from None
 
     def read(self) -> DataFrame:
         paths = sorted(self.parts().values())
@@ -59,7 +83,7 @@ class Table:
 
     def replace(self, keys: DataFrame, rows: DataFrame | None) -> None:
         """Deletes all rows of ``keys`` and adds ``rows``, in one switch."""
-        parts = self.parts()
+        last, parts = self._current()
         gone = keys.select(self.key).distinct()
         if rows is not None:
             gone = gone.unionByName(rows.select(self.key)).distinct()
@@ -70,13 +94,13 @@ class Table:
             kept = kept.select(*rows.columns).unionByName(rows) if old else rows
         version = f"{self.root}/{uuid.uuid4().hex}"
         kept.withColumn("_bucket", self._bucket()).repartition("_bucket").write.partitionBy("_bucket").parquet(version)
-        path, fs = self._fs()
+        _, fs = self._fs()
         written = {s.getPath().getName().partition("=")[2] for s in fs.listStatus(self.spark._jvm.org.apache.hadoop.fs.Path(version)) if s.isDirectory()}
         for b in map(str, touched):
             parts.pop(b, None)
             if b in written:
                 parts[b] = f"{version}/_bucket={b}"
-        self._switch(parts)
+        self._switch(parts, last)
 
     def upsert(self, rows: DataFrame) -> None:
         """Adds rows, each in place of those with its key."""
@@ -86,7 +110,7 @@ class Table:
         self.replace(keys, None)
 
     def truncate(self) -> None:
-        self._switch({})
+        self._switch({}, self._current()[0])
 
     def count(self) -> int:
         return self.read().count()
