@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -275,15 +276,34 @@ def _counted_words(sample: DataFrame, stems: set[str] | None) -> DataFrame:
     return sample.select("label", "text").mapInArrow(run, "label int, word string, n long, words long")
 
 
+def _one_of_copies(sample: DataFrame) -> DataFrame:
+    """(label, text) rows of which near copies, that have the smallest hash of their five-word shingles in common, are one.
+
+    Else the words of a text that was copied often would tell as much as those that many texts have.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            least = []
+            for text in batch.column(1).to_pylist():
+                words = _WORD.findall((text or "").lower())
+                least.append(min(zlib.crc32(" ".join(words[i : i + 5]).encode()) for i in range(max(len(words) - 4, 1))))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.int64())], names=["label", "text", "family"])
+
+    families = sample.select("label", "text").mapInArrow(run, "label int, text string, family long")
+    return families.groupBy("label", "family").agg(F.min("text").alias("text"))
+
+
 def learn_lexicon(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     """Words and stems with their log odds, from (label, text) rows: those too toxic for chance.
 
     A term tells by the documents that have it, by those that have it twice and more, or, where two toxic
     ones do, by the different words that it opens in each document. Chance is
-    Chernoff's bound, held against the number of candidates: half a term is expected by chance.
+    Chernoff's bound, near copies being one document, held against the number of candidates: half a term is expected by chance.
     A stem opens at least three words of toxic documents, and stands for all that it opens.
     The sample is bounded, and so are the terms.
     """
+    sample = store(_one_of_copies(sample))
     held = store(_counted_words(sample, None))
     totals = {r["label"]: (r["docs"], r["words"] or 0) for r in held.groupBy("label").agg(F.count_if(F.col("word") == "").alias("docs"), F.sum(F.when(F.col("word") == "", F.col("n"))).alias("words")).collect()}
     held = held.where("word <> ''")
